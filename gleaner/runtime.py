@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,23 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = parallelism(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session (they may not have it installed)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gleaner_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="gleaner-code-")) / "gleaner.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, Path(here.name) / p.relative_to(here))
+    sc.addPyFile(str(target))
+    sc._gleaner_shipped = True
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package at hand on every worker."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
