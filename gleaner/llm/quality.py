@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import codepoints as cpk
-from gleaner.runtime import spread
+from gleaner.runtime import map_arrow, spread
 
 KINDS = ("prose", "list", "table", "junk")
 _CLOSING = ".!?…。！？।॥"
@@ -301,7 +301,7 @@ def common_words(documents: DataFrame, share: float = 0.05) -> np.ndarray:
 
     texts = documents.select("doc_id", "text").where(F.length(F.trim("text")) > 0)
     total = texts.count()
-    counted = spread(texts).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = map_arrow(spread(texts), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= max(1.0, share * total)).select("word").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
@@ -335,7 +335,7 @@ def verdicts(documents: DataFrame, model: LineModel) -> DataFrame:
                 )
 
     schema = "doc_id long, kind string, " + ", ".join(f"{k}_share double" for k in KINDS)
-    return spread(documents.select("doc_id", "text")).mapInArrow(run, schema)
+    return map_arrow(spread(documents.select("doc_id", "text")), run, schema)
 
 
 def statistics(documents: DataFrame, model: LineModel, common: np.ndarray) -> DataFrame:
@@ -370,4 +370,4 @@ def statistics(documents: DataFrame, model: LineModel, common: np.ndarray) -> Da
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(kind, pa.string())], names=names)
 
     schema = "doc_id long, n_words long, n_lines long, mean_word_length double, symbol_ratio double, closed_line_share double, common_word_share double, kind string"
-    return spread(documents.select("doc_id", "text")).mapInArrow(run, schema)
+    return map_arrow(spread(documents.select("doc_id", "text")), run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import quality, sentences
+from gleaner.llm import leakage, packing, quality, sentences
 from gleaner.sources.tables import distinct_by, table
 
 
@@ -27,6 +27,28 @@ def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_bodies(spark, d), sentences.fit(reports), with_text=True)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that was split has exactly one second part."""
+    return packing.pack(table(spark, d, "documents")).where("part_no = 1").select("doc_id")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.pack(table(spark, d, "documents")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark")
+    return leakage.summary(leakage.leaks(table(spark, d, "documents"), items), items)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     found = quality.verdicts(documents, quality.fit(documents, table(spark, d, "labels")))
@@ -40,7 +62,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_sentences, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p4_found, p4_sentences, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

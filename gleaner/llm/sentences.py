@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.runtime import spread
+from gleaner.runtime import map_arrow, spread
 
 #: Closing marks of the scripts covered, opening marks, and pairs of quotation marks.
 TERMINATORS = ".!?…。！？।॥"
@@ -333,4 +333,4 @@ def sentences(reports: DataFrame, model: BoundaryModel, key: str = "newid", text
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return spread(reports.select(key, text).where(F.length(text) > 0)).mapInArrow(run, schema)
+    return map_arrow(spread(reports.select(key, text).where(F.length(text) > 0)), run, schema)
