@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import leakage, packing, quality, sentences
+from gleaner.llm import cooccurrence, leakage, packing, quality, sentences, termcounts
 from gleaner.sources.tables import distinct_by, table
 
 
@@ -16,6 +16,39 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return distinct_by(table(spark, d, "reuters").where(F.length("body") > 0), "newid", "body")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return cooccurrence.surprising(cooccurrence.together(table(spark, d, "n_gram_index"), min_shared=3))
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = cooccurrence.together(table(spark, d, "n_gram_index"))
+    return pairs.withColumn("lift", F.round("lift", 6)).withColumn("log_odds", F.round("log_odds", 6))
+
+
+def _reports(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return distinct_by(table(spark, d, "reuters"), "newid", *columns)
+
+
+def _marked_terms(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "reuters").agg(F.countDistinct("newid")).first()[0]
+    return termcounts.marked(termcounts.term_counts(_reports(spark, d, "title", "body")), n)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _marked_terms(spark, d).where("mark is not null").select("term", "mark")
+
+
+def p3_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every term with its figures beside those of the index; terms the index lacks have nulls there."""
+    index = termcounts.index_figures(table(spark, d, "inv_index"))
+    return _marked_terms(spark, d).select("term", "n_total", "n_reports", "mark").join(index, "term", "left")
+
+
+def p3_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of up to three terms that stand in at least two reports."""
+    return termcounts.term_counts(_reports(spark, d, "title", "body"), max_terms=3).where("n_reports > 1")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     reports = table(spark, d, "reuters")
     units = sentences.sentences(_bodies(spark, d), sentences.fit(reports))
@@ -62,7 +95,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_sentences, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_terms, p3_phrases, p4_found, p4_sentences, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
