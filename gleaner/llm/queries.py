@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import cooccurrence, leakage, packing, quality, sentences, termcounts
+from gleaner.llm import cooccurrence, leakage, neardup, packing, quality, sentences, termcounts
 from gleaner.sources.tables import distinct_by, table
 
 
@@ -60,6 +60,14 @@ def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_bodies(spark, d), sentences.fit(reports), with_text=True)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_pairs(_reports(spark, d, "title", "body"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_reports(spark, d, "title", "body"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Each document that was split has exactly one second part."""
     return packing.pack(table(spark, d, "documents")).where("part_no = 1").select("doc_id")
@@ -95,7 +103,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_terms, p3_phrases, p4_found, p4_sentences, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_terms, p3_phrases, p4_found, p4_sentences, p5_found, p5_groups, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
