@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import cooccurrence, leakage, neardup, packing, quality, sentences, termcounts
+from gleaner.llm import cooccurrence, leakage, neardup, packing, quality, sentences, subjects, termcounts
 from gleaner.sources.tables import distinct_by, table
 
 
@@ -16,6 +16,31 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return distinct_by(table(spark, d, "reuters").where(F.length("body") > 0), "newid", "body")
 
 
+def _subjects(spark: SparkSession, d: str) -> tuple[DataFrame, subjects.SubjectModel]:
+    reports = table(spark, d, "reuters")
+    bodies = distinct_by(reports.where(F.length("body") > 0), "newid", "body", "topics")
+    rows = subjects.prepared(bodies, table(spark, d, "subject_labels"), table(spark, d, "topic_codes"), sentences.fit(reports))
+    return rows, subjects.train(rows)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, model = _subjects(spark, d)
+    return subjects.found(subjects.shares(rows, model))
+
+
+def p1_subjects(spark: SparkSession, d: str) -> DataFrame:
+    rows, model = _subjects(spark, d)
+    return subjects.posteriors(subjects.shares(rows, model), subjects.calibrate(model, rows))
+
+
+def p1_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the collection: reports and sentences of each subject."""
+    rows, model = _subjects(spark, d)
+    hits = subjects.shares(rows, model)
+    enough = F.col("n_hits") >= 0.25 * F.col("n_units")
+    return hits.groupBy("subject").agg(F.count(F.when(enough, 1)).alias("n_reports"), F.sum("n_hits").cast("long").alias("n_sentences"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.surprising(cooccurrence.together(table(spark, d, "n_gram_index"), min_shared=3))
 
@@ -103,7 +128,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_terms, p3_phrases, p4_found, p4_sentences, p5_found, p5_groups, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_subjects, p1_composition, p2_found, p2_pairs, p3_found, p3_terms, p3_phrases, p4_found, p4_sentences, p5_found, p5_groups, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
