@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -67,3 +68,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package at hand on every worker."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+#: Rows up to which a small side may be broadcast by hint; beyond it Spark plans the join itself.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting that ``df`` has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
