@@ -24,6 +24,10 @@ def ngrams(terms: Column, n: int) -> Column:
     return F.when(last >= 0, runs).otherwise(F.array().cast("array<array<string>>"))
 
 
+def _occurrences(word: Column) -> Column:
+    return F.size(F.filter("terms", lambda w: w == word))
+
+
 def pmi(terms_of: DataFrame, n: int, min_freq: int, min_pmi: float, key: str = "doc_id") -> DataFrame:
     """(key, gram, tf, pmi) of the n-grams of each document that reach both bounds.
 
@@ -39,7 +43,7 @@ def pmi(terms_of: DataFrame, n: int, min_freq: int, min_pmi: float, key: str = "
     grams = grams.where(F.col("tf") >= min_freq)
     product = F.lit(1.0)
     for j in range(n):
-        product = product * F.size(F.filter("terms", lambda w, j=j: w == F.get("gram", F.lit(j))))
+        product = product * _occurrences(F.get("gram", F.lit(j)))
     total = F.size("terms").cast("double")
     value = F.log2(F.col("tf") * (total ** (n - 1) if n > 1 else 1) / product)
     return grams.select(key, "gram", "tf", value.alias("pmi")).where(F.col("pmi") >= min_pmi - 1e-12)
