@@ -131,5 +131,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_subjects, p1_composition, p2_found, p2_pairs, p3_found, p3_terms, p3_phrases, p4_found, p4_sentences, p5_found, p5_groups, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
 
 
+#: Fixed value: white space as str.split() has it, for RE2.
+_BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ITEMS = """WITH alld AS (SELECT DISTINCT doc_id FROM n_gram_index WHERE doc_id IS NOT NULL),
+m AS (SELECT DISTINCT doc_id, lower(array_to_string(ngram_tuple, ' ')) AS item FROM n_gram_index WHERE doc_id IS NOT NULL),
+i AS (SELECT * FROM m WHERE item <> ''), c AS (SELECT item, count(*) AS n FROM i GROUP BY item),
+p AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_shared FROM i a JOIN i b ON a.doc_id = b.doc_id AND a.item < b.item GROUP BY ALL),
+r AS (SELECT item_a, item_b, n_shared, ca.n AS n_a, cb.n AS n_b, (SELECT count(*) FROM alld) AS n_records FROM p JOIN c ca ON ca.item = item_a JOIN c cb ON cb.item = item_b)
+"""
+_REPORTS = "SELECT newid, any_value(title) AS title, any_value(body) AS body FROM reuters WHERE newid IS NOT NULL GROUP BY newid"
+_TERMS = rf"""WITH reps AS ({_REPORTS}), cols AS (SELECT newid, title AS x FROM reps UNION ALL SELECT newid, body FROM reps),
+arrs AS (SELECT newid, regexp_extract_all(lower(x), '\p{{L}}+') AS a FROM cols WHERE x IS NOT NULL),
+"""
+_COUNTED = _TERMS + """f AS (SELECT unnest(a) AS term, newid FROM arrs),
+t AS (SELECT term, count(*) AS n_total, count(DISTINCT newid) AS n_reports FROM f GROUP BY term),
+k AS (SELECT *, CASE WHEN n_reports > 0.15 * (SELECT count(DISTINCT newid) FROM reuters) THEN 'common' WHEN n_reports <= 2 AND n_total <= 3 THEN 'rare' END AS mark FROM t)
+"""
+_LEAKS = r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS a FROM documents),
+v AS (SELECT item_id AS id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS a FROM benchmark),
+dw AS (SELECT DISTINCT id AS doc_id, lower(array_to_string(unnest(list_transform(range(1, len(a) - 11), lambda i: list_slice(a, i, i + 12))), ' ')) AS g FROM w),
+iw AS (SELECT DISTINCT id AS item_id, lower(array_to_string(unnest(list_transform(range(1, len(a) - 11), lambda i: list_slice(a, i, i + 12))), ' ')) AS g FROM v),
+found AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say what the operator does; the others are tested in tests/llm."""
+    return {
+        "p2_found": _ITEMS + "SELECT item_a, item_b FROM r WHERE n_shared >= 3 AND n_shared * n_records >= 10 * n_a * n_b",
+        "p2_pairs": _ITEMS + "SELECT item_a, item_b, n_shared, n_a, n_b, n_records, round(n_shared * CAST(n_records AS DOUBLE) / (n_a * CAST(n_b AS DOUBLE)), 6) AS lift, "
+        "round(ln((n_shared + 0.5) * (n_records - n_a - n_b + n_shared + 0.5) / ((n_a - n_shared + 0.5) * (n_b - n_shared + 0.5))), 6) AS log_odds FROM r",
+        "p3_found": _COUNTED + "SELECT term, mark FROM k WHERE mark IS NOT NULL",
+        "p3_terms": _COUNTED + ", x AS (SELECT lower(term) AS term, doc_id, max(term_frequency) AS tf FROM inv_index WHERE term IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL), "
+        "y AS (SELECT term, CAST(sum(tf) AS BIGINT) AS index_total, count(*) AS index_reports FROM x GROUP BY term) "
+        "SELECT term, n_total, n_reports, mark, index_total, index_reports FROM k LEFT JOIN y USING (term)",
+        "p3_phrases": _TERMS + """g AS (SELECT newid, list_concat(a, list_transform(range(1, len(a)), lambda i: array_to_string(list_slice(a, i, i + 1), ' ')), list_transform(range(1, len(a) - 1), lambda i: array_to_string(list_slice(a, i, i + 2), ' '))) AS b FROM arrs),
+f AS (SELECT unnest(b) AS term, newid FROM g)
+SELECT term, CAST(len(string_split(term, ' ')) AS INTEGER) AS n_terms, count(*) AS n_total, count(DISTINCT newid) AS n_reports FROM f GROUP BY term HAVING count(DISTINCT newid) > 1""",
+        "p5_found": f"""WITH t AS (SELECT newid, trim(regexp_replace(lower(coalesce(title, '') || ' ' || body), '{_BLANKS}+', ' ', 'g')) AS x FROM ({_REPORTS}) WHERE length(body) >= 100),
+s AS (SELECT DISTINCT newid, unnest(list_transform(range(1, length(x) - 3), lambda i: substring(x, CAST(i AS INTEGER), 5))) AS g FROM t), n AS (SELECT newid, count(*) AS n FROM s GROUP BY newid),
+p AS (SELECT a.newid AS newid_a, b.newid AS newid_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.newid < b.newid GROUP BY ALL)
+SELECT newid_a, newid_b FROM p JOIN n na ON na.newid = newid_a JOIN n nb ON nb.newid = newid_b WHERE 10 * c >= 7 * (na.n + nb.n - c)""",
+        "p6_found": rf"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) + length(regexp_replace(text, '[\p{{L}}\p{{N}}]|{_BLANKS}', '', 'g')) > 2048",
+        "p7_found": _LEAKS + "SELECT doc_id, item_id FROM found",
+        "p7_items": _LEAKS + "SELECT item_id, count(doc_id) AS n_documents FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN found USING (item_id) GROUP BY item_id",
+    }
