@@ -135,6 +135,8 @@ def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int,
         if at >= len(par):
             continue
         nxt = _next_class(par, at, len(par))
+        if mark == "." and nxt == "dig" and at == end and start and par[start - 1].isdigit():
+            continue  # a decimal point is inside with certainty
         if mark == " ":
             a, b = par[start - 1], par[at]
             found.append((end, "blank", "blank|" + _script(a), "blank|" + _script(b), "let", depth, "s"))
@@ -159,12 +161,18 @@ def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int,
                 left = token
         else:
             left = kind
-        w = _WORD.match(par, at)
-        word = (par[at] if nxt == "let" and par[at] > "⹿" else w.group()[:24]) if w else par[at]
-        found.append((end, kind, f"{left}{closed}{lead}", word, nxt, depth, "n" if at == end else "s"))
+        found.append((end, kind, f"{left}{closed}{lead}", _word(par, at, nxt), nxt, depth, "n" if at == end else "s"))
     return found
 
 
+def _word(par: str, at: int, nxt: str) -> str:
+    """What stands at a place: a word, a single character of a script without blanks, a mark, or any number."""
+    if nxt == "dig":
+        return "<dig"
+    w = _WORD.match(par, at)
+    return (par[at] if nxt == "let" and par[at] > "⹿" else w.group()[:24]) if w else par[at]
+
+
 def _left_key(left: str, known: set) -> str:
     if left in known:
         return left
@@ -236,6 +244,8 @@ def train(texts: list[str], frequent: int = 20, epochs: int = 4) -> BoundaryMode
     """Learn lexicons, labels and weights from texts alone (see the module's description)."""
     chains: list[list[tuple[tuple, bool | None]]] = []
     lefts, rights, left_end, left_mid, right_start, right_all = (Counter() for _ in range(6))
+    ends: list[str] = []  # what stands before the end of a text, and the first words of texts
+    starts: list[tuple[str, str]] = []
     for text in texts:
         pars = [(s, e) for s, e in paragraphs(text or "") if figure_lines(text, s, e) is None]
         for (s, e), following in zip(pars, [*pars[1:], None]):
@@ -246,10 +256,18 @@ def train(texts: list[str], frequent: int = 20, epochs: int = 4) -> BoundaryMode
                 tail = text[following[0] : following[0] + 40]
                 hidden = [c for c in candidates(par + " " + tail, thai) if c[0] >= len(par) - (0 if thai else 2) and c[0] <= len(par)]
                 cands.extend((c, True) for c in hidden[-1:])
+            else:
+                last = [c for c in candidates(par + " Z", thai) if c[1] != "blank" and len(par) - 2 <= c[0] <= len(par)]
+                ends.extend(c[2] for c in last[-1:])
+            if s == pars[0][0]:
+                nxt = _next_class(par, 0, len(par))
+                starts.append((_word(par, 0, nxt), nxt))
             for c, label in cands:
                 lefts[c[2]] += 1
                 rights[c[3]] += 1
             chains.append(cands)
+    lefts.update(ends)
+    rights.update(w for w, _ in starts)
     model = BoundaryModel({k for k, n in lefts.items() if n >= frequent}, {k for k, n in rights.items() if n >= frequent})
     for chain in chains:
         for c, label in chain:
@@ -260,6 +278,10 @@ def train(texts: list[str], frequent: int = 20, epochs: int = 4) -> BoundaryMode
             elif c[4] not in ("low", "punct"):
                 left_mid[lk] += 1
             right_all[rk] += 1
+    left_end.update(_left_key(x, model.left) for x in ends)
+    for key in (w if w in model.right else "<" + n for w, n in starts):
+        right_start[key] += 1
+        right_all[key] += 1
     data = []
     for chain in chains:
         rows = []
