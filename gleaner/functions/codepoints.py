@@ -36,6 +36,12 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def values(column, step: int = 256) -> Iterator:
+    """The Python values of an Arrow array, made a few rows at a time (a batch may hold very long texts)."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def blocks(keys: Iterable, texts: Iterable[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Group (key, text) into blocks of about ``chars`` characters; null texts count as empty."""
     ks: list = []
