@@ -96,7 +96,7 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], run: int, shingl
         passages, values = sent.value
         for b in batches:
             docs, found = [], []
-            for ids, texts in cpk.blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in cpk.blocks(cpk.values(b.column(0)), cpk.values(b.column(1))):
                 doc, low = window_minima(*word_hashes(texts), run, shingle)
                 at = np.searchsorted(values, low)
                 hit = doc[values[np.minimum(at, len(values) - 1)] == low] if len(values) else doc[:0]

@@ -47,7 +47,7 @@ def sizes(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for ids, texts in cpk.blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in cpk.blocks(cpk.values(b.column(0)), cpk.values(b.column(1))):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(token_counts(texts))], names=["doc_id", "n_tokens"])
 
     return map_arrow(spread(documents.select("doc_id", "text")), run, "doc_id long, n_tokens long")

@@ -293,7 +293,7 @@ def common_words(documents: DataFrame, share: float = 0.05) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            for _, texts in cpk.blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for _, texts in cpk.blocks(cpk.values(b.column(0)), cpk.values(b.column(1))):
                 doc, h = _words(texts)[:2]
                 pair = np.unique(np.stack((doc.astype(np.uint64), h), 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
                 words, n = np.unique(pair[:, 1], return_counts=True)
@@ -323,7 +323,7 @@ def verdicts(documents: DataFrame, model: LineModel) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for ids, texts in cpk.blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in cpk.blocks(cpk.values(b.column(0)), cpk.values(b.column(1))):
                 by, lines, _ = shares(texts, model)
                 keep = lines > 0
                 part = by[keep] / by[keep].sum(1, keepdims=True)
@@ -350,7 +350,7 @@ def statistics(documents: DataFrame, model: LineModel, common: np.ndarray) -> Da
 
     def run(batches):
         for b in batches:
-            for ids, texts in cpk.blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in cpk.blocks(cpk.values(b.column(0)), cpk.values(b.column(1))):
                 by, lines, closed = shares(texts, model)
                 size = len(texts)
                 doc, h, width = _words(texts)

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import codepoints as cpk
 from gleaner.runtime import map_arrow, spread
 
 #: Closing marks of the scripts covered, opening marks, and pairs of quotation marks.
@@ -349,7 +350,7 @@ def sentences(reports: DataFrame, model: BoundaryModel, key: str = "newid", text
     def run(batches):
         for b in batches:
             cols: list[list] = [[] for _ in names]
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, t in zip(cpk.values(b.column(0)), cpk.values(b.column(1))):
                 for i, (s, e) in enumerate(split_text(t, model)):
                     for col, v in zip(cols, (k, i, s, e, t[s:e])):
                         col.append(v)

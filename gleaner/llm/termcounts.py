@@ -83,10 +83,8 @@ def _suffix_rows(columns: int, max_terms: int):
 
     def run(batches):
         for b in batches:
-            texts = [b.column(1 + c).to_pylist() for c in range(columns)]
-            rows = [t for pair in zip(*texts) for t in pair]
-            keys = np.repeat(np.arange(b.num_rows), columns)
-            for ks, ts in _even_blocks(keys, rows, columns):
+            rows = enumerate(zip(*(cpk.values(b.column(1 + c)) for c in range(columns))))
+            for ks, ts in _even_blocks(rows):
                 text, term, words = terms_of(ts)
                 suffix, n, docs = block_suffixes(np.asarray(ks)[text], text, term, max_terms)
                 col = np.array([*words, ""], object)
@@ -101,18 +99,18 @@ def _suffix_rows(columns: int, max_terms: int):
     return run
 
 
-def _even_blocks(keys: np.ndarray, texts: list, columns: int):
+def _even_blocks(rows):
     """Blocks of texts that never part the columns of a record (whose terms are counted together)."""
     ks: list = []
     ts: list[str] = []
     n = 0
-    for i in range(0, len(texts), columns):
-        row = [t or "" for t in texts[i : i + columns]]
+    for key, texts in rows:
+        row = [t or "" for t in texts]
         size = sum(map(len, row))
         if n and n + size > cpk.BLOCK_CHARS:
             yield ks, ts
             ks, ts, n = [], [], 0
-        ks.extend(keys[i : i + columns])
+        ks.extend([key] * len(row))
         ts.extend(row)
         n += size
     if ks:
