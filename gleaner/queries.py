@@ -7,6 +7,7 @@ models compared by logarithms, and the SQL repeats the token rules with RE2.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,11 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return register
@@ -235,6 +236,14 @@ def parse_docs(spark, d):
     return sgml.documents(_elements(spark, d))
 
 
+@query(f"WITH {_DOCS} SELECT doc_id, text FROM docs")
+def scan_sgml(spark, d):
+    """Written as markup files, scanned and parsed again."""
+    path = f"{scratch_dir(spark)}/gleaner/sgml-{uuid.uuid4().hex}"
+    sgml.write(_elements(spark, d), path)
+    return sgml.documents(sgml.scan(spark, path, "part-*"))
+
+
 @query(" UNION ALL ".join(f"SELECT unnest(x) AS category, newid AS doc_id FROM (SELECT newid, any_value({t}) AS x FROM reuters WHERE newid IS NOT NULL GROUP BY newid)" for t in sgml.TAGS).join(("SELECT * FROM (", ") WHERE category IS NOT NULL")))
 def extract_categories(spark, d):
     return sgml.categories(_elements(spark, d))
@@ -322,7 +331,7 @@ tiers AS (SELECT qid, CAST(tier AS BIGINT) AS tier, doc_id FROM td JOIN tc USING
 """
 
 
-@query(_BASE + _TIERS + "SELECT qid, tier, doc_id FROM tiers")
+@query(_BASE + _TIERS + "SELECT qid, tier, doc_id FROM tiers", name="tier_filter")
 def candidate_tiers(spark, d):
     return tier_filter(searcher(spark, d).index, _query(spark, d), TOP)
 

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.runtime import map_arrow
+
 #: The category tags, and the named entities that are decoded.
 TAGS = ("topics", "places", "people", "orgs", "exchanges", "companies")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(path, element): one row an element of every ``.sgm`` file in a directory (or one file), read as Latin-1."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sgm").load(path)
+def scan(spark: SparkSession, path: str, pattern: str = "*.sgm") -> DataFrame:
+    """(path, element): one row an element of every file of that pattern in a directory, read as Latin-1.
+
+    A file is read as a whole (a news file holds about a thousand elements); files are the unit of
+    parallelism. Elements of any letter case are found; what stands outside elements is passed over.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     content = F.decode("content", "ISO-8859-1")
     rows = files.select("path", F.explode(F.split(content, r"(?i)</reuters>")).alias("element"))
     return rows.where(F.col("element").rlike(r"(?is)<reuters[\s>]"))
@@ -61,3 +67,15 @@ def categories(elements: DataFrame) -> DataFrame:
 def category_lists(categories: DataFrame) -> DataFrame:
     """(category, doc_ids) with repeats; null categories are dropped."""
     return categories.where("category is not null").groupBy("category").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def write(elements: DataFrame, path: str) -> None:
+    """Write an ``element`` column as text files of plain ASCII: other characters become references."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            plain = [x.encode("ascii", "xmlcharrefreplace").decode() + "</REUTERS>" for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(plain, pa.string())], names=["value"])
+
+    map_arrow(elements.select("element").where("element is not null"), run, "value string").write.text(path)

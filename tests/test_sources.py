@@ -17,6 +17,13 @@ def test_sgml(spark, tmp_path, as_rows):
     assert as_rows(sgml.categories(elements)) == [("cocoa", 7), ("tea", 7), ("usa", 7)]
 
 
+def test_written_markup_is_read_again(spark, tmp_path, as_rows):
+    texts = ["ราคา &amp; café", "油价 \U0001f600 &lt;A&gt;", "&amp;#233; stays"]
+    df = spark.createDataFrame([(f'<REUTERS NEWID="{i}"><TITLE></TITLE><BODY>{t}</BODY>',) for i, t in enumerate(texts)] + [(None,)], "element string")
+    sgml.write(df, str(tmp_path / "out"))
+    assert as_rows(sgml.documents(sgml.scan(spark, str(tmp_path / "out"), "part-*"))) == [(0, "ราคา & café"), (1, "油价 \U0001f600 <A>"), (2, "&#233; stays")]
+
+
 def test_category_lists_keep_repeats(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), ("a", 2), (None, 3)], "category string, doc_id long")
     assert {r.category: list(r.doc_ids) for r in sgml.category_lists(rows).collect()} == {"a": [1, 2, 2]}
