@@ -10,7 +10,7 @@ finds it with certainty instead of with some probability (the minima of sliding
 computed for whole blocks of text at once). Texts shorter than a window form the other size class,
 which cannot hold a passage. Candidates are verified by exact containment of the run of words.
 
-Items are worked off in blocks of at most ``BLOCK_ITEMS``, so what is sent to the executors stays
+Items are worked off in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters, so what is sent to the executors stays
 bounded whatever the number of items.
 """
 
@@ -26,7 +26,8 @@ from gleaner.functions import codepoints as cpk
 from gleaner.runtime import map_arrow, spread
 
 RUN, SHINGLE = 13, 5
-BLOCK_ITEMS = 20_000
+#: Items, and characters of items, that are sent to the executors at a time.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 30_000_000
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _LOWER: list[np.ndarray] = []
 
@@ -117,7 +118,8 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, shingle: int =
     when ids repeat. Items in no document and documents without items give no rows.
     """
     items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    blocks = max(1, -(-items.count() // block_items))
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-chars // BLOCK_CHARS))
     out = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)

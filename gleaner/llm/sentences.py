@@ -30,6 +30,8 @@ from gleaner.runtime import map_arrow, spread
 TERMINATORS = ".!?…。！？।॥"
 OPENERS = "„«「『“‘¿¡([<（【-–—\"*•"
 PAIRS = {"„": "“", "«": "»", "「": "」", "『": "』", "“": "”"}
+#: Characters looked at to the left of a mark (a longer token is no abbreviation).
+CONTEXT = 40
 _MARK = re.compile(r"[.!?…。！？।॥]+|''|[\"“”„«»「」『』]|(?<=[^\s\x00-\x7f])[ \t]*\n?[ \t]*(?<=[ \t\n])(?=[^\s])|(?<=\S)[ \t\n]+(?=[฀-๿])")
 _PARAGRAPH = re.compile(r"\n[ \t\r　 ]*\n\s*")
 _WORD = re.compile(r"\w+")
@@ -120,10 +122,10 @@ def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int,
             if closing:
                 _, lead = stack.pop()
                 last = out[-1] if out else None
-                if last and last[2] != " " and not par[last[1] : m.start()].strip() and last[3] > len(stack):
+                if last and last[2] != " " and m.start() - last[1] < CONTEXT and not par[last[1] : m.start()].strip() and last[3] > len(stack):
                     last[1], last[3], last[4], last[5] = m.end(), len(stack), "q", lead
             else:
-                before = par[: m.start()].rstrip()[-1:]
+                before = par[max(0, m.start() - CONTEXT) : m.start()].rstrip()[-1:]
                 lead = "start" if not before or before in TERMINATORS or before in "”»」』\"“" else "colon" if before in ":：" else "comma" if before in ",，、" else "other"
                 stack.append((s, lead))
     found = []
@@ -144,20 +146,14 @@ def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int,
             continue
         kind = "ell" if mark.startswith("..") or mark[0] == "…" else "dot" if mark[0] == "." else "cjk" if mark[0] in "。！？" else "dan" if mark[0] in "।॥" else "qe"
         if kind == "dot":
-            k = start
-            while k > 0 and not _TOKEN_START.match(par, k - 1):
+            k, furthest = start, max(0, start - CONTEXT)
+            while k > furthest and not _TOKEN_START.match(par, k - 1):
                 k -= 1
             token = par[k:start]
             if token[-1:].isupper() and not token[-2:-1].isalnum():
                 left = "INIT"
             elif token and all(x.isdigit() or x in ".,-$%" for x in token) and token[-1].isdigit():
-                j = k
-                while j > 0 and par[j - 1].isspace():
-                    j -= 1
-                i = j
-                while i > 0 and not par[i - 1].isspace():
-                    i -= 1
-                left = "NUM|" + par[i:j]
+                left = "NUM|" + "".join(par[max(0, k - CONTEXT) : k].split()[-1:])
             else:
                 left = token
         else:
