@@ -16,9 +16,19 @@ from gleaner.operators.index import Index
 from gleaner.runtime import small
 
 
+#: Distinct query terms up to which they are pushed into the scan of the postings.
+PUSHED_TERMS = 2_000
+
+
+def narrowed(postings: DataFrame, query: DataFrame) -> DataFrame:
+    """Push the terms of a small query batch into the scan: postings are sorted by term, so row groups are skipped."""
+    terms = query.select("term").where("term is not null").distinct().limit(PUSHED_TERMS + 1).collect()
+    return postings.where(F.col("term").isin([t[0] for t in terms])) if len(terms) <= PUSHED_TERMS else postings
+
+
 def matched(index: Index, query: DataFrame, high_only: bool = False) -> DataFrame:
     postings = index.postings.where("is_high") if high_only else index.postings
-    return postings.join(small(query), "term")
+    return narrowed(postings, query).join(small(query), "term")
 
 
 def bm25(index: Index, query: DataFrame, k1: float = 1.2, b: float = 0.75, high_only: bool = False) -> DataFrame:
@@ -58,7 +68,7 @@ def lm_additive(index: Index, query: DataFrame, candidates: DataFrame, alpha: fl
 def lm_jelinek_mercer(index: Index, query: DataFrame, candidates: DataFrame, lam: float = 0.5) -> DataFrame:
     """Jelinek-Mercer smoothing: product of lam tf / len + (1 - lam) cf / C; a term outside the collection makes it zero (log null)."""
     terms, base = _collection_part(index, query, lam)
-    hits = index.postings.join(small(terms), "term").groupBy("qid", "doc_id").agg(F.sum(F.log(F.lit(lam) * F.col("tf") / F.col("len") + F.col("p")) - F.log("p")).alias("gain"))
+    hits = narrowed(index.postings, query).join(small(terms), "term").groupBy("qid", "doc_id").agg(F.sum(F.log(F.lit(lam) * F.col("tf") / F.col("len") + F.col("p")) - F.log("p")).alias("gain"))
     rows = candidates.select("qid", "doc_id").join(hits, ["qid", "doc_id"], "left").join(small(base), "qid")
     return rows.select("qid", "doc_id", (F.coalesce("gain", F.lit(0.0)) + F.col("base")).alias("log_score"))
 

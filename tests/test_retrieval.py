@@ -167,6 +167,7 @@ def test_stemmed_index(spark):
 
 def test_plans(spark, index):
     plan = ranking.bm25(index, q(spark, "apple"))._jdf.queryExecution().toString()
+    assert "EqualTo(term,apple)" in plan or "In(term, [apple])" in plan
     assert "BroadcastHashJoin" in plan and "Python" not in plan and "mapInArrow" not in plan.lower()
     tokens = text.exploded(text.with_terms(spark.createDataFrame(MINI, "doc_id long, text string")))
     assert tokens._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
