@@ -35,7 +35,8 @@ CONTEXT = 40
 _MARK = re.compile(r"[.!?…。！？।॥]+|''|[\"“”„«»「」『』]|(?<=[^\s\x00-\x7f])[ \t]*\n?[ \t]*(?<=[ \t\n])(?=[^\s])|(?<=\S)[ \t\n]+(?=[฀-๿])")
 _PARAGRAPH = re.compile(r"\n[ \t\r　 ]*\n\s*")
 _WORD = re.compile(r"\w+")
-_FIGURE = re.compile(r"\S[ \t]{2,}\S|\t|\|")
+_FIGURE = re.compile(r"[\w%$)][ \t]{2,}\S|\t|\|")  # wide blanks, but not behind a closing mark
+_RUN_ON = re.compile(r"(?<=\w\w)[.!?](?=\w\w)(?![a-z])|[!?]")
 _THAI = re.compile(r"[฀-๿]")
 _TOKEN_START = re.compile(r"[\s(\[“„«「『\"‘（]")
 
@@ -149,7 +150,7 @@ def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int,
             k, furthest = start, max(0, start - CONTEXT)
             while k > furthest and not _TOKEN_START.match(par, k - 1):
                 k -= 1
-            token = par[k:start]
+            token = _RUN_ON.split(par[k:start])[-1]  # a missing blank makes no difference
             if token[-1:].isupper() and not token[-2:-1].isalnum():
                 left = "INIT"
             elif token and all(x.isdigit() or x in ".,-$%" for x in token) and token[-1].isdigit():

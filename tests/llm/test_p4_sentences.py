@@ -45,6 +45,13 @@ def test_layout(model):
     assert sentences.split_text("Will the court rule?It was sold to Brook Inc.", model) == [(0, 20), (20, 45)]
 
 
+def test_run_on_and_wide_blanks(model):
+    text = "The plan was sold to Brook Inc.Dr. Alda Moss of Fern Corp. said output rose 4.5 pct."
+    assert [text[s:e] for s, e in sentences.split_text(text, model)] == [text[:31], text[31:]]
+    text = "It was sold in 1998.  The plan rose 4.5\npct.  It was sold to 30 of\n40 firms.  Talks began at 9 a.m. on Monday."
+    assert [text[s:e] for s, e in sentences.split_text(text, model)] == ["It was sold in 1998.", "The plan rose 4.5\npct.", "It was sold to 30 of\n40 firms.", "Talks began at 9 a.m. on Monday."]
+
+
 @pytest.mark.parametrize("text", [None, "", "  \n\n ", "　"])
 def test_nothing(model, text):
     assert sentences.split_text(text, model) == []
