@@ -14,6 +14,8 @@ import numpy as np
 
 #: Characters worked on at a time; bounds the memory of a Python worker whatever the batch holds.
 BLOCK_CHARS = 1 << 20
+#: Texts of a block (their numbers fit in 16 bits).
+BLOCK_TEXTS = 50_000
 LETTER, DIGIT, MARK, SPACE, UPPER, PUNCT, SYMBOL = 1, 2, 4, 8, 16, 32, 64
 
 
@@ -49,7 +51,7 @@ def blocks(keys: Iterable, texts: Iterable[str | None], chars: int = BLOCK_CHARS
     n = 0
     for k, t in zip(keys, texts):
         t = t or ""
-        if n and n + len(t) > chars:
+        if n and (n + len(t) > chars or len(ks) == BLOCK_TEXTS):
             yield ks, ts
             ks, ts, n = [], [], 0
         ks.append(k)
