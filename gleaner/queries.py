@@ -17,7 +17,7 @@ from gleaner.functions import stemming, text
 from gleaner.operators import feedback, index as ix, lexicon, phrases, ranking, summary
 from gleaner.operators.candidates import tier_filter
 from gleaner.plans.search import Searcher
-from gleaner.runtime import cut, scratch_dir
+from gleaner.runtime import cut, scratch_dir, still_there
 from gleaner.sources import sgml
 from gleaner.sources.tables import distinct_by, table
 
@@ -40,14 +40,14 @@ def workload(spark: SparkSession, d: str) -> DataFrame:
 def searcher(spark: SparkSession, d: str) -> Searcher:
     """The index of a collection, built once a session."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _made:
+    if key not in _made or not still_there(_made[key].index.postings):
         _made[key] = Searcher(ix.Index.build(corpus(spark, d)))
     return _made[key]
 
 
 def _query(spark: SparkSession, d: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d, "query")
-    if key not in _made:
+    if key not in _made or not still_there(_made[key]):
         _made[key] = cut(ix.query_terms(workload(spark, d)))
     return _made[key]
 

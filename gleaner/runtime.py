@@ -36,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether the files of a scan still exist (someone may have emptied the shared folder)."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
