@@ -1,7 +1,7 @@
 from gleaner.sources import sgml
 from gleaner.sources.tables import distinct_by
 
-FILE = """<!DOCTYPE lewis SYSTEM "lewis.dtd">
+FILE = """<!DOCTYPE news SYSTEM "news.dtd">
 <REUTERS TOPICS="YES" OLDID="1" NEWID="7"><TOPICS><D>cocoa</D><D>tea</D></TOPICS><PLACES><D>usa</D></PLACES><PEOPLE></PEOPLE><ORGS></ORGS>
 <TEXT><TITLE>\xc9TOILE &amp; CO &#233;</TITLE><BODY>Prices rose &lt;ETO.P&gt;.&#3;
 Again.</BODY></TEXT></REUTERS>
