@@ -48,6 +48,7 @@ class BoundaryModel:
     left: set = field(default_factory=set)
     right: set = field(default_factory=set)
     weights: dict = field(default_factory=dict)
+    near: dict = field(default_factory=dict)  # misspellings of long abbreviations that never end a unit
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -171,9 +172,13 @@ def _word(par: str, at: int, nxt: str) -> str:
     return (par[at] if nxt == "let" and par[at] > "⹿" else w.group()[:24]) if w else par[at]
 
 
-def _left_key(left: str, known: set) -> str:
-    if left in known:
+def _left_key(left: str, model: BoundaryModel) -> str:
+    if left in model.left:
         return left
+    if model.near and 4 <= len(left) <= 12 and left.isalpha():
+        meant = model.near.get(left) or model.near.get("~" + "".join(sorted(left)))
+        if meant:
+            return meant
     if left.startswith("NUM|"):
         return "NUM|Cap" if left[4:5].isupper() else "NUM|low"
     return "word" + ("q" if left.endswith(("qstart", "qcolon", "qcomma", "qother")) else "")
@@ -181,7 +186,7 @@ def _left_key(left: str, known: set) -> str:
 
 def _features(c: tuple, model: BoundaryModel) -> tuple[str, ...]:
     _, kind, left, word, nxt, depth, ws = c
-    lk = _left_key(left, model.left)
+    lk = _left_key(left, model)
     rk = word if word in model.right else "<" + nxt
     return ("L" + lk, "R" + rk, f"N{kind}|{nxt}|{ws}", f"M{lk}|{nxt}", f"P{lk}|{rk}", f"D{depth > 0}|{kind}")
 
@@ -190,15 +195,20 @@ def _gap(a: int, b: int) -> str:
     return "near" if b - a < 12 else "far"
 
 
-def decode(cands: list[tuple], model: BoundaryModel, start: int = 0) -> list[bool]:
-    """Viterbi over the tags of a paragraph's candidate positions; the paragraph starts after a boundary."""
+def decode(cands: list[tuple], model: BoundaryModel, gold: list[bool] | None = None) -> list[bool]:
+    """Viterbi over the tags of a paragraph's candidate positions; the paragraph starts after a boundary.
+
+    With ``gold`` (in training) every wrong tag is worth one more, which teaches a margin.
+    """
     w = model.weights
     get = w.get
     score = {False: -1e18, True: 0.0}
     back: list[tuple[bool, bool]] = []
-    last = start
-    for c in cands:
+    last = 0
+    for i, c in enumerate(cands):
         e = sum(get(f, 0.0) for f in _features(c, model))
+        if gold is not None:
+            e += -1.0 if gold[i] else 1.0
         g = _gap(last, c[0])
         inside = (score[False] + get("T00" + g, 0.0), score[True] + get("T10" + g, 0.0))
         bound = (score[False] + get("T01" + g, 0.0) + e, score[True] + get("T11" + g, 0.0) + e)
@@ -269,22 +279,26 @@ def train(texts: list[str], frequent: int = 20, epochs: int = 4) -> BoundaryMode
     model = BoundaryModel({k for k, n in lefts.items() if n >= frequent}, {k for k, n in rights.items() if n >= frequent})
     for chain in chains:
         for c, label in chain:
-            lk, rk = _left_key(c[2], model.left), c[3] if c[3] in model.right else "<" + c[4]
+            lk, rk = _left_key(c[2], model), c[3] if c[3] in model.right else "<" + c[4]
             if label:
                 left_end[lk] += 1
                 right_start[rk] += 1
             elif c[4] not in ("low", "punct"):
                 left_mid[lk] += 1
             right_all[rk] += 1
-    left_end.update(_left_key(x, model.left) for x in ends)
+    left_end.update(_left_key(x, model) for x in ends)
     for key in (w if w in model.right else "<" + n for w, n in starts):
         right_start[key] += 1
         right_all[key] += 1
+    for word in sorted(model.left):
+        if word.isalpha() and len(word) >= 5 and not left_end[word] and word not in ("INIT",):
+            model.near["~" + "".join(sorted(word))] = word  # letters swapped
+            model.near.update((word[:i] + word[i + 1 :], word) for i in range(len(word)))  # a letter lost
     data = []
     for chain in chains:
         rows = []
         for c, label in chain:
-            lk, rk = _left_key(c[2], model.left), c[3] if c[3] in model.right else "<" + c[4]
+            lk, rk = _left_key(c[2], model), c[3] if c[3] in model.right else "<" + c[4]
             final = left_end[lk] >= 0.03 * (left_end[lk] + left_mid[lk])
             opens = right_start[rk] >= 0.02 * right_all[rk]
             if not label:
@@ -301,11 +315,11 @@ def _perceptron(data: list, model: BoundaryModel, epochs: int) -> dict:
     w: dict[str, float] = {}
     total: dict[str, float] = {}
     step = 1
-    scorer = BoundaryModel(model.left, model.right, w)
+    scorer = BoundaryModel(model.left, model.right, w, model.near)
     for _ in range(epochs):
         for rows in data:
             gold = [y for _, y, _ in rows]
-            tags = decode([c for c, _, _ in rows], scorer)
+            tags = decode([c for c, _, _ in rows], scorer, gold)
             if tags != gold:
                 for path, sign in ((gold, 1.0), (tags, -1.0)):
                     prev, last = True, 0

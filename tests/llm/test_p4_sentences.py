@@ -5,7 +5,7 @@ import pytest
 from gleaner.llm import sentences
 
 SENTENCES = {
-    "en": ["Dr. Alda Moss of Fern Corp. said output rose 4.5 pct.", "Will the court rule?", '"No comment!" was all J. R. Hale would say.', '"We never saw it coming."', "Prices hit $3.2 mln in 1998...", "The plan ... was dropped on Nov. 7.", "It was sold to Brook Inc.", "Talks began at 9 a.m. on Monday."],
+    "en": ["Dr. Alda Moss of Fern Corp. said output rose 4.5 pct.", "Will the court rule?", '"No comment!" was all J. R. Hale would say.', '"We never saw it coming."', "Prices hit $3.2 mln in 1998...", "The plan ... was dropped on Nov. 7.", "It was sold to Brook Inc.", "Talks began at 9 a.m. on Monday.", "It has approx. 40 people."],
     "de": ["Das Werk kostete 3,2 Mio. Euro.", "Er kam am 3. Mai, z. B. mit Hr. Vogt.", "„Das ist gut.“"],
     "ja": ["「もう待てない！」と森氏は叫んだ。", "価格は3.5%上がった。", "林氏は「行く。」と述べた。"],
     "th": ["ราคาน้ำมันเพิ่มขึ้นแล้ว", "นาย Somchai กล่าวว่า 58 บริษัทปิด", "เมื่อวานนี้ฝนตก"],
@@ -39,6 +39,11 @@ def test_languages(model, lang):
     assert right >= 58
 
 
+def test_misspelt_abbreviations(model):
+    for word in ("approx", "aprpox", "appox"):
+        assert len(sentences.split_text(f"It has {word}. 40 people. Will the court rule?", model)) == 2
+
+
 def test_layout(model):
     text = "   Talks began\nat 9 a.m. on Monday.\n \nNet   30  vs   94\nRevs  96  vs   12\n\n-- The desk\n"
     assert [text[s:e] for s, e in sentences.split_text(text, model)] == ["Talks began\nat 9 a.m. on Monday.", "Net   30  vs   94", "Revs  96  vs   12", "-- The desk"]
