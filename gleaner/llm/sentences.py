@@ -10,8 +10,10 @@ The model is trained without hand-made labels. Paragraph breaks are certain boun
 are hidden (the closing mark is followed by a plain blank, and the text of an unpunctuated script
 is a bare string of words) and the model learns to tell them from the marks that are certainly
 inside a sentence. How often a left context stands before a paragraph break, and how often a word
-opens a paragraph, labels the marks in between; the weights of the chain are then learned with the
-averaged structured perceptron on a bounded sample (``fit_reports``).
+opens a paragraph, labels the marks in between; these figures are counted over all reports in one
+pass. The weights of the chain alone are learned, with the averaged structured perceptron, on a bounded
+sample (``fit_reports``). Contexts too rare there to have weights of their own share those of a class,
+into which the counts of the whole collection put them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import codepoints as cpk
-from gleaner.runtime import map_arrow, spread
+from gleaner.runtime import cut, map_arrow, spread
+from gleaner.sources.tables import distinct_by
 
 #: Closing marks of the scripts covered, opening marks, and pairs of quotation marks.
 TERMINATORS = ".!?…。！？।॥"
@@ -38,6 +41,8 @@ _WORD = re.compile(r"\w+")
 _FIGURE = re.compile(r"[\w%$)][ \t]{2,}\S|\t|\|")  # wide blanks, but not behind a closing mark
 _RUN_ON = re.compile(r"(?<=\w\w)[.!?](?=\w\w)(?![a-z])|[!?]")
 _THAI = re.compile(r"[฀-๿]")
+#: Class of the contexts that are rare in the sample and, in the whole collection, never at a boundary.
+NEVER = "never|"
 _TOKEN_START = re.compile(r"[\s(\[“„«「『\"‘（]")
 
 
@@ -49,6 +54,8 @@ class BoundaryModel:
     right: set = field(default_factory=set)
     weights: dict = field(default_factory=dict)
     near: dict = field(default_factory=dict)  # misspellings of long abbreviations that never end a unit
+    never_left: set = field(default_factory=set)  # rare in the sample, but never ends a unit in the collection
+    never_right: set = field(default_factory=set)  # rare in the sample, but never opens a unit in the collection
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -175,10 +182,12 @@ def _word(par: str, at: int, nxt: str) -> str:
 def _left_key(left: str, model: BoundaryModel) -> str:
     if left in model.left:
         return left
+    if left in model.never_left:
+        return NEVER
     if model.near and 4 <= len(left) <= 12 and left.isalpha():
         meant = model.near.get(left) or model.near.get("~" + "".join(sorted(left)))
         if meant:
-            return meant
+            return meant if meant in model.left else NEVER
     if left.startswith("NUM|"):
         return "NUM|Cap" if left[4:5].isupper() else "NUM|low"
     return "word" + ("q" if left.endswith(("qstart", "qcolon", "qcomma", "qother")) else "")
@@ -187,7 +196,15 @@ def _left_key(left: str, model: BoundaryModel) -> str:
 def _features(c: tuple, model: BoundaryModel) -> tuple[str, ...]:
     _, kind, left, word, nxt, depth, ws = c
     lk = _left_key(left, model)
-    rk = word if word in model.right else "<" + nxt
+    rk = _right_key(word, nxt, model)
+    return _named(lk, rk, kind, nxt, depth, ws)
+
+
+def _right_key(word: str, nxt: str, model: BoundaryModel) -> str:
+    return word if word in model.right else ("<" + NEVER if word in model.never_right else "<") + nxt
+
+
+def _named(lk: str, rk: str, kind: str, nxt: str, depth: int, ws: str) -> tuple[str, ...]:
     return ("L" + lk, "R" + rk, f"N{kind}|{nxt}|{ws}", f"M{lk}|{nxt}", f"P{lk}|{rk}", f"D{depth > 0}|{kind}")
 
 
@@ -195,10 +212,11 @@ def _gap(a: int, b: int) -> str:
     return "near" if b - a < 12 else "far"
 
 
-def decode(cands: list[tuple], model: BoundaryModel, gold: list[bool] | None = None) -> list[bool]:
+def decode(cands: list[tuple], model: BoundaryModel, gold: list[bool] | None = None, named: list[tuple] | None = None) -> list[bool]:
     """Viterbi over the tags of a paragraph's candidate positions; the paragraph starts after a boundary.
 
-    With ``gold`` (in training) every wrong tag is worth one more, which teaches a margin.
+    With ``gold`` (in training) every wrong tag is worth one more, which teaches a margin; ``named`` are
+    the features of the candidates where they are known.
     """
     w = model.weights
     get = w.get
@@ -206,7 +224,7 @@ def decode(cands: list[tuple], model: BoundaryModel, gold: list[bool] | None = N
     back: list[tuple[bool, bool]] = []
     last = 0
     for i, c in enumerate(cands):
-        e = sum(get(f, 0.0) for f in _features(c, model))
+        e = sum(get(f, 0.0) for f in (named[i] if named else _features(c, model)))
         if gold is not None:
             e += -1.0 if gold[i] else 1.0
         g = _gap(last, c[0])
@@ -248,64 +266,117 @@ def split_text(text: str | None, model: BoundaryModel) -> list[tuple[int, int]]:
     return out
 
 
-def train(texts: list[str], frequent: int = 20, epochs: int = 4) -> BoundaryModel:
-    """Learn lexicons, labels and weights from texts alone (see the module's description)."""
+def _marks(text: str | None) -> tuple[list[list[tuple[tuple, bool | None]]], list[str], list[tuple[str, str]]]:
+    """Candidates by paragraph (True: a hidden paragraph break), what stands before the end of the text, its first word."""
     chains: list[list[tuple[tuple, bool | None]]] = []
-    lefts, rights, left_end, left_mid, right_start, right_all = (Counter() for _ in range(6))
-    ends: list[str] = []  # what stands before the end of a text, and the first words of texts
+    ends: list[str] = []
     starts: list[tuple[str, str]] = []
-    for text in texts:
-        pars = [(s, e) for s, e in paragraphs(text or "") if figure_lines(text, s, e) is None]
-        for (s, e), following in zip(pars, [*pars[1:], None]):
-            par = text[s:e]
-            thai = bool(_THAI.search(par))
-            cands = [(c, None) for c in candidates(par, thai)]
-            if following:  # the paragraph break, hidden
-                tail = text[following[0] : following[0] + 40]
-                hidden = [c for c in candidates(par + " " + tail, thai) if c[0] >= len(par) - (0 if thai else 2) and c[0] <= len(par)]
-                cands.extend((c, True) for c in hidden[-1:])
-            else:
-                last = [c for c in candidates(par + " Z", thai) if c[1] != "blank" and len(par) - 2 <= c[0] <= len(par)]
-                ends.extend(c[2] for c in last[-1:])
-            if s == pars[0][0]:
-                nxt = _next_class(par, 0, len(par))
-                starts.append((_word(par, 0, nxt), nxt))
-            for c, label in cands:
-                lefts[c[2]] += 1
-                rights[c[3]] += 1
-            chains.append(cands)
-    lefts.update(ends)
-    rights.update(w for w, _ in starts)
-    model = BoundaryModel({k for k, n in lefts.items() if n >= frequent}, {k for k, n in rights.items() if n >= frequent})
+    pars = [(s, e) for s, e in paragraphs(text or "") if figure_lines(text, s, e) is None]
+    for (s, e), following in zip(pars, [*pars[1:], None]):
+        par = text[s:e]
+        thai = bool(_THAI.search(par))
+        found = candidates(par + " " + (text[following[0] : following[0] + 40] if following else "Z"), thai)
+        cands = [(c, None) for c in found if c[0] < len(par)]  # what follows changes nothing before the end
+        if following:  # the paragraph break, hidden
+            hidden = [c for c in found if c[0] >= len(par) - (0 if thai else 2) and c[0] <= len(par)]
+            cands.extend((c, True) for c in hidden[-1:])
+        else:
+            last = [c for c in found if c[1] != "blank" and len(par) - 2 <= c[0] <= len(par)]
+            ends.extend(c[2] for c in last[-1:])
+        if s == pars[0][0]:
+            nxt = _next_class(par, 0, len(par))
+            starts.append((_word(par, 0, nxt), nxt))
+        chains.append(cands)
+    return chains, ends, starts
+
+
+def _tally(marks: tuple, into: dict) -> None:
+    """Add the marks of a text to (side, context, class) -> [uses, uses at a certain boundary, uses that speak against one].
+
+    Those are, of a left context, its uses within a paragraph; of an opening word, its uses behind a
+    dot that stands outside quotations (other marks close a sentence whatever word follows).
+    """
+
+    def add(side, key, fold, end, mid):
+        at = into.setdefault((side, key, fold), [0, 0, 0])
+        at[0] += 1
+        at[1] += end
+        at[2] += mid
+
+    chains, ends, starts = marks
+    plain = BoundaryModel()
     for chain in chains:
         for c, label in chain:
-            lk, rk = _left_key(c[2], model), c[3] if c[3] in model.right else "<" + c[4]
-            if label:
-                left_end[lk] += 1
-                right_start[rk] += 1
-            elif c[4] not in ("low", "punct"):
-                left_mid[lk] += 1
-            right_all[rk] += 1
-    left_end.update(_left_key(x, model) for x in ends)
-    for key in (w if w in model.right else "<" + n for w, n in starts):
-        right_start[key] += 1
-        right_all[key] += 1
-    for word in sorted(model.left):
-        if word.isalpha() and len(word) >= 5 and not left_end[word] and word not in ("INIT",):
+            fold = _left_key(c[2], plain)
+            add("L", c[2], fold, bool(label), not label and c[4] not in ("low", "punct"))
+            add("R", c[3], "<" + c[4], bool(label), not label and c[1] == "dot" and c[5] == 0 and fold != "wordq")
+    for left in ends:
+        add("L", left, _left_key(left, plain), 1, 0)
+    for word, nxt in starts:
+        add("R", word, "<" + nxt, 1, 0)
+
+
+def _folded(tally: dict, frequent: int) -> list[tuple]:
+    """(side, key, kept, uses, at a boundary, against one) where contexts used less than ``frequent`` times count as their class."""
+    uses: Counter = Counter()
+    for (side, key, _), at in tally.items():
+        uses[side, key] += at[0]
+    out: dict[tuple, list] = {}
+    for (side, key, fold), at in tally.items():
+        kept = uses[side, key] >= frequent
+        row = out.setdefault((side, key if kept else fold), [False, 0, 0, 0])
+        row[0] = row[0] or kept
+        for i in range(3):
+            row[1 + i] += at[i]
+    return [(*k, *v) for k, v in out.items()]
+
+
+def train(texts: list[str], frequent: int = 20, epochs: int = 4, counted: list[tuple] | None = None) -> BoundaryModel:
+    """Learn lexicons, labels and weights from texts alone (see the module's description).
+
+    ``counted`` are the figures of the whole collection (``count_marks``), of which ``texts`` are a
+    sample; without them the texts are the collection.
+    """
+    marks = [_marks(t) for t in texts]
+    tally: dict = {}
+    for m in marks:
+        _tally(m, tally)
+    own = _folded(tally, frequent)
+    figures = own if counted is None else counted
+    kept = {side: {r[1] for r in figures if r[0] == side and r[2]} for side in "LR"}
+    model = BoundaryModel(*({r[1] for r in own if r[0] == side and r[2]} & kept[side] for side in "LR"))
+    lefts = {r[1]: r[4:] for r in figures if r[0] == "L"}  # at a boundary, within
+    rights = {r[1]: r[3:] for r in figures if r[0] == "R"}  # all, at a boundary, behind a dot
+    final = {k: end >= 0.03 * (end + mid) for k, (end, mid) in lefts.items()}
+    # a word that the sample hardly holds needs more uses, and behind dots, before it counts as one that opens nothing
+    opens = {k: start + 1 >= 0.02 * (start + dots) if k in kept["R"] and k not in model.right else start >= 0.02 * n for k, (n, start, dots) in rights.items()}
+    model.never_left = {k for k in kept["L"] - model.left if not final[k]}
+    model.never_right = {k for k in kept["R"] - model.right if not opens[k]}
+    for word in sorted(model.left | model.never_left):
+        if word.isalpha() and len(word) >= 5 and lefts[word][0] * 1000 <= sum(lefts[word]) and word not in ("INIT",):
             model.near["~" + "".join(sorted(word))] = word  # letters swapped
             model.near.update((word[:i] + word[i + 1 :], word) for i in range(len(word)))  # a letter lost
     data = []
-    for chain in chains:
-        rows = []
-        for c, label in chain:
-            lk, rk = _left_key(c[2], model), c[3] if c[3] in model.right else "<" + c[4]
-            final = left_end[lk] >= 0.03 * (left_end[lk] + left_mid[lk])
-            opens = right_start[rk] >= 0.02 * right_all[rk]
-            if not label:
-                label = c[4] not in ("low", "punct") and c[5] == 0 and final and opens and not (c[6] == "n" and c[4] == "dig" and c[1] == "dot")
-            rows.append((c, bool(label), _features(c, model)))
-        if rows:
-            data.append(rows)
+    turn: Counter = Counter()
+    for chains, _, _ in marks:
+        for chain in chains:
+            rows = []
+            for c, label in chain:
+                lk, rk = _left_key(c[2], model), _right_key(c[3], c[4], model)
+                ends_here = lk != NEVER and final.get(lk, True)
+                starts_here = not rk.startswith("<" + NEVER) and opens.get(rk, True)
+                if not label:
+                    label = c[4] not in ("low", "punct") and c[5] == 0 and ends_here and starts_here and not (c[6] == "n" and c[4] == "dig" and c[1] == "dot")
+                # one use in four of the frequent ones teaches the class of the rare ones, if there are any
+                if model.never_left and lk in model.left and not ends_here:
+                    turn[lk] += 1
+                    lk = lk if turn[lk] % 4 else NEVER
+                if model.never_right and rk in model.right and not starts_here:
+                    turn["<", rk] += 1
+                    rk = rk if turn["<", rk] % 4 else "<" + NEVER + c[4]
+                rows.append((c, bool(label), _named(lk, rk, c[1], c[4], c[5], c[6])))
+            if rows:
+                data.append(rows)
     model.weights = _perceptron(data, model, epochs)
     return model
 
@@ -315,11 +386,11 @@ def _perceptron(data: list, model: BoundaryModel, epochs: int) -> dict:
     w: dict[str, float] = {}
     total: dict[str, float] = {}
     step = 1
-    scorer = BoundaryModel(model.left, model.right, w, model.near)
+    scorer = BoundaryModel(weights=w)
     for _ in range(epochs):
         for rows in data:
             gold = [y for _, y, _ in rows]
-            tags = decode([c for c, _, _ in rows], scorer, gold)
+            tags = decode([c for c, _, _ in rows], scorer, gold, [f for _, _, f in rows])
             if tags != gold:
                 for path, sign in ((gold, 1.0), (tags, -1.0)):
                     prev, last = True, 0
@@ -333,17 +404,62 @@ def _perceptron(data: list, model: BoundaryModel, epochs: int) -> dict:
     return {f: v - total.get(f, 0.0) / step for f, v in w.items() if v or total.get(f)}
 
 
+def lowest(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows of the ``rows`` distinct keys that come first in the order of a hash: a bounded sample, wherever they are stored."""
+    h = F.xxhash64(key)
+    last = df.where(F.col(key).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(last)) if last is not None else df.limit(0)
+
+
 def sample_texts(df: DataFrame, key: str, text: str, rows: int) -> list[str]:
-    """At most ``rows`` texts, chosen by a hash of the key: a bounded sample for fitting."""
-    n = df.select(key).count()
-    share = min(1.0, 1.3 * rows / max(n, 1))
-    picked = df.where((F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & (F.length(text) > 0))
-    return sorted(r[0] for r in picked.select(text).limit(rows).collect())
+    """At most ``rows`` texts of distinct keys, the first by a hash of the key: a bounded sample for fitting."""
+    picked = lowest(df.select(key, text).where(F.length(text) > 0), key, rows)
+    return sorted(r[1] for r in picked.dropDuplicates([key]).collect())
+
+
+#: Contexts that a task holds before it sends their counts.
+HELD_CONTEXTS = 200_000
+
+
+def count_marks(reports: DataFrame, frequent: int = 20, least_share: float = 2e-6, text: str = "body") -> list[tuple]:
+    """The figures of ``_folded`` over all rows of ``reports`` (pass distinct ones), counted in one pass.
+
+    A context is kept from ``frequent`` uses and ``least_share`` of all uses, which bounds the
+    lexicons that come to the driver whatever the collection; all others are added up by class.
+    """
+    import pyarrow as pa
+
+    names = ["side", "key", "fold", "n", "n_end", "n_mid"]
+
+    def batch(tally):
+        cols = [*zip(*tally)] or [(), (), ()]
+        sums = [*zip(*tally.values())] or [(), (), ()]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), *(pa.array(c, pa.int64()) for c in sums)], names=names)
+
+    def run(batches):
+        tally: dict = {}
+        for b in batches:
+            for t in cpk.values(b.column(0)):
+                _tally(_marks(t), tally)
+                if len(tally) >= HELD_CONTEXTS:
+                    yield batch(tally)
+                    tally = {}
+        yield batch(tally)
+
+    seen = map_arrow(spread(reports.select(text).where(F.length(text) > 0)), run, "side string, key string, fold string, n long, n_end long, n_mid long")
+    sums = [F.sum(c).alias(c) for c in names[3:]]
+    counts = cut(seen.groupBy("side", "key", "fold").agg(*sums))
+    total = counts.where("side = 'L'").agg(F.sum("n")).first()[0] or 0
+    whole = counts.groupBy("side", "key").agg(F.sum("n").alias("uses"), F.collect_list(F.struct("fold", *names[3:])).alias("by"))
+    kept = F.col("uses") >= max(frequent, least_share * total)
+    rows = whole.select("side", "key", kept.alias("kept"), F.explode("by").alias("x")).select("side", F.when(F.col("kept"), F.col("key")).otherwise(F.col("x.fold")).alias("key"), "kept", "x.n", "x.n_end", "x.n_mid")
+    return sorted(tuple(r) for r in rows.groupBy("side", "key").agg(F.max("kept").alias("kept"), *sums).collect())
 
 
 def fit(reports: DataFrame, fit_reports: int = 4000) -> BoundaryModel:
-    """Fit on at most ``fit_reports`` texts of ``reports(newid, body)``."""
-    return train(sample_texts(reports, "newid", "body", fit_reports))
+    """Count contexts over all distinct ``reports(newid, body)``; fit weights on at most ``fit_reports`` of them."""
+    texts = cut(distinct_by(reports.where(F.length("body") > 0), "newid", "body"))
+    return train(sample_texts(texts, "newid", "body", fit_reports), counted=count_marks(texts))
 
 
 def sentences(reports: DataFrame, model: BoundaryModel, key: str = "newid", text: str = "body", with_text: bool = False) -> DataFrame:

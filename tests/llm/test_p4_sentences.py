@@ -99,3 +99,19 @@ def test_long_and_odd_texts(model):
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"Text {i}.") for i in range(500)], "newid long, body string")
     assert 0 < len(sentences.sample_texts(df, "newid", "body", 50)) <= 50
+
+
+def test_rare_abbreviations_count_in_all_reports(spark):
+    """A context too rare for the sample is learned from the counts of the whole collection."""
+    r = random.Random(8)
+    reports = [(i, " ".join(filter(None, [make(r, "en")[0], "It met Zqu. Brook on Monday." if i % 25 == 0 else "", "Prices rose."]))) for i in range(1500)]
+    model = sentences.fit(spark.createDataFrame([*reports, *reports[:30]], "newid long, body string"), fit_reports=75)
+    assert len(sentences.split_text("Will the court rule? It met Zqu. Brook on Monday. Prices rose.", model)) == 3
+    counted = {r[1]: r[3] for r in sentences.count_marks(spark.createDataFrame(reports, "newid long, body string")) if r[0] == "L"}
+    assert counted["Zqu"] == 60
+
+
+def test_sample_is_independent_of_the_order(spark):
+    rows = [(i, f"Text {i}.") for i in range(500)]
+    picked = [sentences.sample_texts(spark.createDataFrame(x, "newid long, body string").coalesce(1), "newid", "body", 50) for x in (rows, rows[::-1], rows + rows[:250])]
+    assert picked[0] == picked[1] == picked[2] and len(picked[0]) == 50
