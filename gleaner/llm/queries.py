@@ -20,7 +20,7 @@ def _subjects(spark: SparkSession, d: str) -> tuple[DataFrame, subjects.SubjectM
     reports = table(spark, d, "reuters")
     bodies = distinct_by(reports.where(F.length("body") > 0), "newid", "body", "topics")
     rows = subjects.prepared(bodies, table(spark, d, "subject_labels"), table(spark, d, "topic_codes"), sentences.fit(reports))
-    return rows, subjects.train(rows)
+    return rows, subjects.calibrate_units(subjects.train(rows), rows)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,8 @@ triples in scripts without spaces), hashed into a table of fixed size. Training
    subjects and *none*, under a mixture of their own document that starts from its label or codes;
    counts of features weighted by these posteriors give the next complement model.
 3. Calibration: on a bounded sample of labelled documents, Platt scaling turns each subject's
-   evidence into independent posteriors, for documents; sentences are decided one subject at a time.
+   evidence into independent posteriors, by which sentences are decided one subject at a time; a second
+   one turns a document's share of such sentences into its posterior.
 
 The expectation steps are single passes over a compact table of features; what they send is the
 fixed-size table of counts, added up in slices before the driver sees it.
@@ -18,7 +19,7 @@ fixed-size table of counts, added up in slices before the driver sees it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,12 +42,14 @@ NONE_SHARE = 0.4
 
 @dataclass
 class SubjectModel:
-    """weights[feature, class]: log odds against the complement; prior log odds of each class; Platt scales."""
+    """weights[feature, class]: log odds against the complement; prior log odds of each class; Platt scales of documents and sentences."""
 
     weights: np.ndarray
     bias: np.ndarray
     scale: np.ndarray | None = None
     shift: np.ndarray | None = None
+    unit_scale: np.ndarray | None = None
+    unit_shift: np.ndarray | None = None
 
 
 def unit_features(texts: list[str], units: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,10 +252,23 @@ def train(rows: DataFrame, passes: int = 3) -> SubjectModel:
     return SubjectModel(weights, bias)
 
 
-def unit_decisions(model: SubjectModel, feats: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
-    """(units, subjects): whether a sentence deals with each subject, decided independently."""
+#: Evidence (natural log) beyond which a sentence counts as certain in the calibration.
+CERTAIN = 20.0
+
+
+def _margins(model: SubjectModel, feats: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+    """(units, subjects): evidence of a sentence for each subject, against the others and against *none*."""
     e = _evidence(model.weights, feats, unit, n) + model.bias
-    return (e[:, :NONE] > 0) & (e[:, :NONE] > e[:, NONE :] )
+    return np.clip(np.minimum(e[:, :NONE], e[:, :NONE] - e[:, NONE:]), -CERTAIN, CERTAIN)
+
+
+def unit_decisions(model: SubjectModel, feats: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+    """(units, subjects): whether a sentence deals with each subject, decided independently.
+
+    With calibrated evidence (``calibrate_units``) a posterior above a half decides, else the raw log odds.
+    """
+    m = _margins(model, feats, unit, n)
+    return m > 0 if model.unit_scale is None else model.unit_scale * m + model.unit_shift > 0
 
 
 def _shares(batch, model: SubjectModel) -> tuple[np.ndarray, np.ndarray]:
@@ -281,6 +297,48 @@ def shares(rows: DataFrame, model: SubjectModel) -> DataFrame:
     return map_arrow(rows, run, "newid long, label int, subject string, n_hits int, n_units int")
 
 
+def _platt(x: np.ndarray, y: np.ndarray, scale: float, shift: float, ridge: float) -> tuple[float, float]:
+    """Scale and shift of the logistic curve of y over x, with a ridge towards the given ones."""
+    a, b = scale, shift
+    for _ in range(200 if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g, w = p - y, p * (1 - p)
+        grad = np.array([(g * x).sum() + ridge * (a - scale), g.sum() + ridge * (b - shift)])
+        hess = np.array([[(w * x**2).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + ridge]])
+        step = np.linalg.solve(hess, grad)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        a, b = a - step[0], b - step[1]
+    return a, b
+
+
+def calibrate_units(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000, least: float = 0.25) -> SubjectModel:
+    """Platt scaling of each subject's evidence in sentences, on at most ``fit_labels`` labelled documents.
+
+    A document deals with a subject where ``least`` of its sentences do, so its label speaks about the
+    sentence that completes this share: the label is fitted over the evidence of that sentence, and
+    the curve holds for every sentence. A subject that no, or every, document of the sample has
+    keeps its raw log odds.
+    """
+    import pyarrow as pa
+
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in (p for batch in batches for p in _pieces(batch)):
+            label, _, n, doc, unit, feats = _load(b)
+            m = _margins(held.value, feats, unit, len(doc))
+            at = (np.cumsum(n) - n + np.ceil(least * n).astype(np.int64) - 1)[n > 0]
+            x = np.stack([m[np.lexsort((-m[:, c], doc)), c][at] for c in range(NONE)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(label[n > 0], pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
+
+    got = map_arrow(sent.lowest(rows.where("label > 0"), "newid", fit_labels), run, "label int, x binary").collect()
+    x = np.array([np.frombuffer(r.x) for r in got]).reshape(-1, NONE)
+    y = _mask(np.array([r.label for r in got], np.int64))
+    fits = [_platt(x[:, c], y[:, c], 1.0, 0.0, 0.1) if 0 < y[:, c].sum() < len(y) else (1.0, 0.0) for c in range(NONE)]
+    scale, shift = np.array(fits).T
+    return replace(model, unit_scale=scale, unit_shift=shift)
+
+
 def calibrate(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000) -> SubjectModel:
     """Platt scaling of each subject's share on at most ``fit_labels`` labelled documents."""
     sample = rows.where("label > 0").limit(fit_labels)
@@ -293,17 +351,8 @@ def calibrate(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000) -> S
     y = _mask(np.array([m for _, m in ids], np.int64)) if ids else np.zeros((0, NONE))
     model.scale, model.shift = np.full(NONE, 20.0), np.full(NONE, -5.0)
     for c in range(NONE):
-        a, b = 20.0, -5.0
-        for _ in range(200 if len(ids) else 0):
-            p = 1 / (1 + np.exp(-np.clip(a * x[:, c] + b, -30, 30)))
-            g, w = p - y[:, c], p * (1 - p)
-            # a ridge towards the threshold of a quarter keeps subjects with few labels calibrated
-            grad = np.array([(g * x[:, c]).sum() + 0.02 * (a - 20), g.sum() + 0.02 * (b + 5)])
-            hess = np.array([[(w * x[:, c] ** 2).sum() + 0.02, (w * x[:, c]).sum()], [(w * x[:, c]).sum(), w.sum() + 0.02]])
-            step = np.linalg.solve(hess, grad)
-            step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
-            a, b = a - step[0], b - step[1]
-        model.scale[c], model.shift[c] = a, b
+        # a ridge towards the threshold of a quarter keeps subjects with few labels calibrated
+        model.scale[c], model.shift[c] = _platt(x[:, c], y[:, c], 20.0, -5.0, 0.02)
     return model
 
 

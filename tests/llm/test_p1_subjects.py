@@ -76,3 +76,35 @@ def test_complement_weights_shrink_rare_features():
 def test_empty_tables(spark):
     rows = subjects.prepared(spark.createDataFrame([], "newid long, body string, topics array<string>"), spark.createDataFrame([], "newid long, subject string"), spark.createDataFrame([], "code string, subject string"), sentences.train([]))
     assert subjects.found(subjects.shares(rows, subjects.train(rows, passes=1))).collect() == []
+
+
+def _document(newid, subject, features):
+    """A row of ``featured`` whose sentences have one feature each."""
+    label = 1 << subjects.SUBJECTS.index(subject) if subject else 0
+    return newid, label, 0, len(features), bytearray(np.arange(len(features), dtype=np.int32).tobytes()), bytearray(np.array(features, np.int32).tobytes())
+
+
+FEATURED = "newid long, label int, hint int, n_units int, units binary, feats binary"
+
+
+@pytest.mark.parametrize("about, other", [(9.0, 5.0), (-5.0, -9.0)])
+def test_found_is_decided_by_calibrated_evidence(spark, about, other):
+    """Skewed evidence (9 against 5, or -5 against -9) is put right by the labelled sample."""
+    weights = np.zeros((1 << subjects.BITS, subjects.NONE + 1), np.float32)
+    weights[0], weights[1], weights[2] = -30, -30, -30
+    law, sport = map(subjects.SUBJECTS.index, ("law", "sport"))
+    weights[0, law], weights[1, law], weights[1, sport] = about, other, 15
+    docs = [_document(i, ("law", "sport", None, None)[i % 4], [i % 2, 2, 2, 2]) for i in range(400)]
+    rows = spark.createDataFrame(docs, FEATURED)
+    raw = subjects.SubjectModel(weights, np.zeros(subjects.NONE + 1))
+    wrong = []
+    for model in (raw, subjects.calibrate_units(raw, rows)):
+        got = {r.newid for r in subjects.found(subjects.shares(rows, model)).where("subject = 'law'").collect()}
+        wrong.append(len(got ^ {i for i in range(400) if i % 2 == 0}))
+    assert wrong == [200, 0]
+
+
+def test_queries_use_calibrated_evidence(spark, sf):
+    from gleaner.llm import queries
+
+    assert queries._subjects(spark, sf)[1].unit_scale is not None
