@@ -280,7 +280,7 @@ def _shares(batch, model: SubjectModel) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shares(rows: DataFrame, model: SubjectModel) -> DataFrame:
-    """(newid, label, subject, n_hits, n_units) for every subject with at least one sentence."""
+    """(newid, label, subject, n_hits, n_units) for every subject of every report with a sentence; n_hits may be 0."""
     import pyarrow as pa
 
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -288,7 +288,7 @@ def shares(rows: DataFrame, model: SubjectModel) -> DataFrame:
     def run(batches):
         for b in (p for batch in batches for p in _pieces(batch)):
             hit, n = _shares(b, held.value)
-            d, c = np.nonzero(hit)
+            d, c = np.nonzero(np.broadcast_to(n[:, None] > 0, hit.shape))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array([SUBJECTS[i] for i in c], pa.string()), pa.array(hit[d, c].astype(np.int32)), pa.array(n[d].astype(np.int32))],
                 names=["newid", "label", "subject", "n_hits", "n_units"],
@@ -341,7 +341,7 @@ def calibrate_units(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000
 
 def calibrate(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000) -> SubjectModel:
     """Platt scaling of each subject's share on at most ``fit_labels`` labelled documents."""
-    sample = rows.where("label > 0").limit(fit_labels)
+    sample = sent.lowest(rows.where("label > 0"), "newid", fit_labels)
     got = [(r.newid, r.label, r.subject, r.n_hits / r.n_units) for r in shares(sample, model).collect()]
     ids = sorted({g[:2] for g in got})
     x = np.zeros((len(ids), NONE))
@@ -373,11 +373,11 @@ def prepared(reports: DataFrame, labels: DataFrame, codes: DataFrame, boundaries
 
 def found(shares: DataFrame, least: float = 0.25) -> DataFrame:
     """(newid, subject) where at least this share of the document's units deals with the subject."""
-    return shares.where(F.col("n_hits") >= F.lit(least) * F.col("n_units")).select("newid", "subject")
+    return shares.where((F.col("n_hits") > 0) & (F.col("n_hits") >= F.lit(least) * F.col("n_units"))).select("newid", "subject")
 
 
 def posteriors(shares: DataFrame, model: SubjectModel) -> DataFrame:
-    """Calibrated posterior of every subject a report has a sentence of."""
+    """Calibrated posterior of all subjects for every report with a sentence."""
     at = F.create_map(*[x for i, s in enumerate(SUBJECTS) for x in (F.lit(s), F.array(F.lit(float(model.scale[i])), F.lit(float(model.shift[i]))))])[F.col("subject")]
     share = F.col("n_hits") / F.col("n_units")
     return shares.select("newid", "subject", share.alias("unit_share"), (1 / (1 + F.exp(-(at[0] * share + at[1])))).alias("posterior"))

@@ -108,3 +108,19 @@ def test_queries_use_calibrated_evidence(spark, sf):
     from gleaner.llm import queries
 
     assert queries._subjects(spark, sf)[1].unit_scale is not None
+
+
+def test_reports_without_a_hit_are_calibrated(spark):
+    """Labelled reports that the model misses in all subjects count in the fit, and have posteriors."""
+    weights = np.zeros((1 << subjects.BITS, subjects.NONE + 1), np.float32)
+    law = subjects.SUBJECTS.index("law")
+    weights[0, law], weights[1] = 9, -9
+    model = subjects.SubjectModel(weights, np.zeros(subjects.NONE + 1))
+    hits = [_document(i, "law", [0, 0, 1, 1]) for i in range(40)]
+    missed = [_document(100 + i, "law", [1, 1]) for i in range(160)]
+    shifts = [subjects.calibrate(model, spark.createDataFrame(x, FEATURED)).shift[law] for x in (hits, hits + missed)]
+    rows = spark.createDataFrame([*hits, *missed, (999, 1, 0, 0, bytearray(), bytearray())], FEATURED)
+    got = subjects.posteriors(subjects.shares(rows, model), subjects.calibrate(model, rows)).collect()
+    assert shifts[1] > 0 and shifts[1] > shifts[0]
+    assert len(got) == 200 * subjects.NONE and min(r.posterior for r in got if r.newid >= 100 and r.subject == "law") > 0.5
+    assert subjects.found(subjects.shares(rows, model)).count() == 40
