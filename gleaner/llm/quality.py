@@ -8,6 +8,13 @@ independent-feature components, learned with expectation-maximization. Training
 documents labelled as a whole, so every line first takes its document's kind, and Baum-Welch
 passes then let lines leave it (a heading above a list, a table below a story). The verdict of a
 document is the kind holding more than half of its characters.
+
+Labels hold mistakes, and a mixture would give each of them a component of its own, which could then
+draw every line of that language. So labels are tried first: a regularized logistic regression over
+the line statistics of whole documents, fitted on some folds of the sample, judges the other ones, and
+a label that it contradicts has no say in the model. Lines leave their document's kind only as long
+as that kind keeps half of the characters, so that no document changes sides in training. When texts are
+tagged, the regression's posterior of the whole document joins the emissions of its lines.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import codepoints as cpk
-from gleaner.runtime import map_arrow, spread
+from gleaner.runtime import cut, map_arrow, spread
 
 KINDS = ("prose", "list", "table", "junk")
 _CLOSING = ".!?…。！？।॥"
@@ -36,6 +43,10 @@ def _rank(x: np.ndarray, cuts) -> np.ndarray:
     return np.searchsorted(np.asarray(cuts, float), x, side="right")
 
 
+#: Code points of the scripts that a line statistic tells apart (kana, Han, Thai, Indic).
+SCRIPTS = (((0x3040, 0x3100),), ((0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000)), ((0xE00, 0xE80),), ((0x900, 0xE00),))
+#: Line statistics, and bins of the one with the most.
+FEATURES, BINS = 21, 135
 #: Pseudo-count of each bin of a feature.
 SMOOTH = 0.3
 _SHARES = (0.02, 0.06, 0.12, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9)
@@ -62,8 +73,11 @@ def _tables() -> dict:
         flags[0x61:0x7B] |= 1 << 8
         flags[0x80:0x100] |= 1 << 9
         flags[[0xFFFD, 0x201A, 0x20AC, 0x2020]] |= 1 << 9
+        for i, ranges in enumerate(SCRIPTS):
+            for lo, hi in ranges:
+                flags[lo:hi] |= 1 << (10 + i)
         combos, combo = np.unique(flags, return_inverse=True)
-        bits = ((combos[:, None] >> np.arange(10)) & 1).astype(np.int64)
+        bits = ((combos[:, None] >> np.arange(14)) & 1).astype(np.int64)
         low, up, let, dig = (bits[:, 0] & ~bits[:, 3] & 1), bits[:, 3], bits[:, 0], bits[:, 1]
         trans = np.outer(low, up) | (np.outer(let, dig) | np.outer(dig, let)) << 1
         _TABLES.update(kind=kind, combo=combo.astype(np.int16), bits=bits, trans=trans.astype(np.int8).ravel(), black=(c & cpk.SPACE) == 0, ends=_member(_CLOSING + _QUOTES))
@@ -82,7 +96,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     keep = after > first_token
     ft, lt = first_token[keep], after[keep] - 1
     if not len(ft):
-        return np.zeros((0, 21), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, FEATURES), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, last, size = ts[ft], te[lt] - 1, len(ft)
     doc = np.searchsorted(starts, first, side="right") - 1
     tokens = lt - ft + 1
@@ -100,7 +114,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     line = np.repeat(np.arange(size, dtype=np.int32), np.diff(np.concatenate((first, [len(cp)]))))
     many = len(t["bits"])
     hist = np.bincount(line * many + cls[first[0] :], minlength=size * many).reshape(size, many)
-    letters, digits, symbols, upper, marks, closing, seps, vowels, ascii_letters, high = (hist @ t["bits"]).T
+    letters, digits, symbols, upper, marks, closing, seps, vowels, ascii_letters, high, *scripts = (hist @ t["bits"]).T
     n = np.bincount(tline, width, size).astype(np.int64)
     longest = np.maximum.reduceat(width, ft)
     c1 = cls[:-1]
@@ -136,7 +150,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         _rank(n, (4, 8, 12, 18, 26, 40, 60, 90, 150, 300, 1000)), _rank(words / n, _SHARES), _rank(digits / n, _SHARES), _rank(symbols / n, _SHARES),
         np.minimum(gaps, 6), _rank(seps / tokens, (0.01, 0.05, 0.1, 0.2, 0.4, 0.7, 1.01, 2)), shape, k[cp[last]].astype(np.int64),
         _rank(n / tokens, (1.5, 2.5, 3.5, 4.5, 5.5, 7, 9, 14, 30, 70)), _rank(longest, (3, 6, 9, 12, 16, 22, 35, 60, 90)), _rank(tokens, (1.5, 2.5, 3.5, 5, 7, 10, 15, 25, 60)),
-        np.where(ascii_letters * 2 < n, 11, _rank(vowels / np.maximum(ascii_letters, 1), (0.03, 0.08, 0.14, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.7))),
+        np.where(ascii_letters * 2 < n, _script(np.stack(scripts), letters, n), _rank(vowels / np.maximum(ascii_letters, 1), (0.03, 0.08, 0.14, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.7))),
         _rank(camel / n, (0.002, 0.02, 0.05, 0.1, 0.15)), _rank(high / n, (0.01, 0.03, 0.07, 0.12, 0.2, 0.35)), _rank(same / n, (0.01, 0.05, 0.1, 0.2, 0.5, 0.8)),
         _rank(mixed / n, (0.002, 0.02, 0.06, 0.12, 0.2)), _rank(caps / tokens, (0.05, 0.2, 0.4, 0.6, 0.8, 0.99)), _rank(closing / tokens, (0.01, 0.04, 0.1, 0.2, 0.4, 0.8)),
         np.where(tokens < 6, 9, _rank(distinct / tokens, (0.1, 0.25, 0.5, 0.7, 0.85, 0.95))), _rank(small / tokens, (0.02, 0.1, 0.2, 0.3, 0.45, 0.7)), alike * 5 + _rank(numbers / tokens, (0.05, 0.3, 0.6, 0.9)),
@@ -144,14 +158,26 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.stack(cols, 1), doc, last + 1 - first
 
 
+def _script(counts: np.ndarray, letters: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """12 to 15 for a line mostly in one of ``SCRIPTS`` (kana marks Japanese among Han), 16 for other letters, else 11."""
+    counts = counts * np.array([4, 1, 1, 1])[:, None]
+    return np.where(counts.max(0) * 3 > n, 12 + counts.argmax(0), np.where(letters * 2 > n, 16, 11))
+
+
+#: Largest difference (natural log) that one line makes, and the odds that a line is not of its document's kind.
+LINE_RANGE, STRAY = 8.0, np.exp(-4.0)
+
+
 @dataclass
 class LineModel:
-    """Log probabilities: start (K), transitions (K, K), emissions as a table a component (K, M, features, bins)."""
+    """Log probabilities: start (K), transitions (K, K), emissions as a table a component (K, M, features, bins);
+    ``whole`` are the weights of the regression over whole documents (features * bins, K)."""
 
     start: np.ndarray
     move: np.ndarray
     mix: np.ndarray
     emit: np.ndarray
+    whole: np.ndarray
 
     def log_emission(self, x: np.ndarray) -> np.ndarray:
         """(lines, K), in blocks of lines."""
@@ -169,11 +195,25 @@ class LineModel:
             out[a : a + 8192] = top + np.log(np.exp(lp - top[:, :, None]).sum(2))
         return out
 
-    def tag(self, x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def line_scores(self, x: np.ndarray, doc: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """(lines, K): log emission, no line weighing more than ``LINE_RANGE``, and what the whole document says of a line's kind.
+
+        A line takes its document's kind with certainty or else, at the odds of ``STRAY``, any kind.
+        """
+        e = self.log_emission(x)
+        if not len(e):
+            return e
+        at, own = np.unique(doc, return_inverse=True)
+        p = _softmax(np.concatenate([s @ self.whole for s in document_shares(x, own, chars, len(at))]))
+        return np.maximum(e, e.max(1, keepdims=True) - LINE_RANGE) + np.log(p + (1 - p) * STRAY)[own]
+
+    def tag(self, x: np.ndarray, doc: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        return self.best_path(self.line_scores(x, doc, chars), doc)
+
+    def best_path(self, e: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Viterbi for all documents at once: step i advances every document that has a line i."""
-        if not len(x):
+        if not len(e):
             return np.zeros(0, np.int64)
-        e = self.log_emission(x)
         begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         size = np.diff(np.concatenate((begin, [len(doc)])))
         order = np.argsort(-size, kind="stable")
@@ -189,7 +229,7 @@ class LineModel:
             back[at] = step.argmax(1)
             score[:m] = step.max(1) + e[at]
         final = score.argmax(1)
-        out = np.empty(len(x), np.int64)
+        out = np.empty(len(e), np.int64)
         state = final.copy()
         for i in range(int(size[0]) - 1, -1, -1):
             m = int(np.searchsorted(-size, -i, side="left"))
@@ -200,87 +240,180 @@ class LineModel:
         return out
 
 
-def _fit_parts(x: np.ndarray, weight: np.ndarray, parts: int, bins: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _fit_parts(x: np.ndarray, weight: np.ndarray, parts: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Mixture of independent-feature components of one kind, by expectation-maximization."""
     rng = np.random.default_rng(seed)
     n, feats = x.shape
     resp = rng.dirichlet(np.full(parts, 0.3), n) if n else np.zeros((0, parts))
-    mix, emit = np.full(parts, -np.log(parts)), np.full((parts, feats, bins), -np.log(bins))
+    cell = x + np.arange(feats) * BINS
+    mix, emit = np.full(parts, -np.log(parts)), np.full((parts, feats, BINS), -np.log(BINS))
     for _ in range(rounds):
         r = resp * weight[:, None]
         mass = r.sum(0) + 0.5
         mix = np.log(mass / mass.sum())
-        for f in range(feats):
-            for p in range(parts):
-                c = np.bincount(x[:, f], r[:, p], bins) + SMOOTH
-                emit[p, f] = np.log(c / c.sum())
+        for p in range(parts):
+            c = np.bincount(cell.ravel(), np.repeat(r[:, p], feats), feats * BINS).reshape(feats, BINS) + SMOOTH
+            emit[p] = np.log(c / c.sum(1, keepdims=True))
         if n:
-            lp = sum(emit[:, f, x[:, f]] for f in range(feats)) + mix[:, None]
-            lp -= lp.max(0)
-            resp = np.exp(lp).T
+            lp = _log_parts(x, mix, emit)
+            lp -= lp.max(1, keepdims=True)
+            resp = np.exp(lp)
             resp /= resp.sum(1, keepdims=True)
     return mix, emit
 
 
-def train(texts: list[str], kinds: list[str], parts: int = 8, passes: int = 3, seed: int = 7) -> LineModel:
+def _log_parts(x: np.ndarray, mix: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """(lines, components): log of the share of a component times its probability of the line."""
+    out = np.repeat(mix[None], len(x), 0)
+    for f in range(x.shape[1]):
+        out += emit[:, f].T[x[:, f]]
+    return out
+
+
+def _best_parts(x: np.ndarray, weight: np.ndarray, held: np.ndarray, parts: int, rounds: int, seed: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of several random starts, fitted without the lines in ``held``, the one likeliest there, then fitted on all."""
+    if starts > 1 and held.any() and not held.all():
+
+        def likelihood(start: int) -> float:
+            lp = _log_parts(x[held], *_fit_parts(x[~held], weight[~held], parts, rounds, seed + 101 * start))
+            top = lp.max(1)
+            return float((weight[held] * (top + np.log(np.exp(lp - top[:, None]).sum(1)))).sum())
+
+        seed += 101 * max(range(starts), key=likelihood)
+    return _fit_parts(x, weight, parts, rounds, seed)
+
+
+#: Folds in which labels are tried, and the share below which a label counts as contradicted.
+FOLDS, DOUBT = 5, 0.1
+
+
+def doubtful(x: np.ndarray, doc: np.ndarray, chars: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
+    """(documents,): labels that the other documents of the sample contradict.
+
+    ``y`` are the kinds of the documents. The ridge of the regression keeps a few wrong labels from outvoting
+    the right ones of their kind. A second round leaves the contradicted labels of the first out of the fits.
+    """
+    size = len(y)
+    share = _used(np.concatenate([*document_shares(x, doc, chars, size)]))[0]
+    fold = np.random.default_rng(seed).permutation(size) % FOLDS
+    bad = np.zeros(size, bool)
+    for _ in range(2):
+        p = np.zeros((size, len(KINDS)))
+        for k in range(FOLDS):
+            fit = (fold != k) & ~bad
+            p[fold == k] = _softmax(share[fold == k] @ _regression(share[fit], y[fit]))
+        own = p[np.arange(size), y]
+        bad = (own < DOUBT) & (p.argmax(1) != y)
+    return bad
+
+
+def document_shares(x: np.ndarray, doc: np.ndarray, chars: np.ndarray, size: int, step: int = 1024):
+    """Root of the share of a document's characters in each bin of each statistic, ``step`` documents at a time.
+
+    ``doc`` numbers the documents of the lines in order.
+    """
+    feats = x.shape[1]
+    for a in range(0, size, step):
+        n = min(step, size - a)
+        lo, hi = np.searchsorted(doc, (a, a + n))
+        cell = ((doc[lo:hi, None] - a) * feats + np.arange(feats)) * BINS + x[lo:hi]
+        share = np.bincount(cell.ravel(), np.repeat(chars[lo:hi], feats), n * feats * BINS).reshape(n, -1).astype(np.float32)
+        yield np.sqrt(share / np.maximum(share.sum(1, keepdims=True) / feats, 1))
+
+
+def _used(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns that are not all zero, and their numbers."""
+    at = np.flatnonzero(share.any(0))
+    return share[:, at], at
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 150) -> np.ndarray:
+    """Weights (columns, kinds) of a softmax regression, by accelerated gradient steps."""
+    w = np.zeros((x.shape[1], len(KINDS)), np.float32)
+    if not len(x):
+        return w
+    goal = np.eye(len(KINDS), dtype=np.float32)[y]
+    step = 1.0 / (0.5 * float((x**2).sum(1).max()) * len(x) + ridge)
+    ahead, t = w, 1.0
+    for _ in range(rounds):
+        after = ahead - np.float32(step * 4) * (x.T @ (_softmax(x @ ahead) - goal) + np.float32(ridge) * ahead)
+        further = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, w, t = after + np.float32((t - 1) / further) * (after - w), after, further
+    return w
+
+
+def train(texts: list[str], kinds: list[str], parts: int = 8, passes: int = 3, seed: int = 7, starts: int = 3) -> LineModel:
     """From texts labelled as a whole; see the module's description."""
     x, doc, chars = line_features(texts)
-    bins = 135
-    y = np.array([KINDS.index(k) for k in kinds])[doc] if len(doc) else np.zeros(0, np.int64)
+    label = np.array([KINDS.index(k) for k in kinds], np.int64)
+    whole = np.zeros((FEATURES * BINS, len(KINDS)), np.float32)
+    if len(doc):
+        sure = ~doubtful(x, doc, chars, label, seed)
+        share, at = _used(np.concatenate([*document_shares(x, doc, chars, len(label))]))
+        whole[at] = _regression(share[sure], label[sure], rounds=300)
+        keep = sure[doc]
+        x, doc, chars = x[keep], doc[keep], chars[keep]
+    y = label[doc] if len(doc) else np.zeros(0, np.int64)
+    held = doc % 5 == 0
+    weight = np.minimum(chars, 200) ** 0.5
     own = y.copy()
-    model = None
     for step in range(passes + 1):
-        emit = [_fit_parts(x[own == k], np.minimum(chars[own == k], 200) ** 0.5, parts, bins, 12, seed + k) for k in range(len(KINDS))]
+        emit = []
+        for k in range(len(KINDS)):
+            mine = own == k
+            emit.append(_best_parts(x[mine], weight[mine], held[mine], parts, 12, seed + k, starts if step == passes else 1))
         move = np.ones((4, 4))
         start = np.ones(4)
         if len(doc):
             follow = np.flatnonzero(doc[1:] == doc[:-1])
             np.add.at(move, (own[follow], own[follow + 1]), 1)
             np.add.at(start, own[np.concatenate(([True], doc[1:] != doc[:-1]))], 1)
-        model = LineModel(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.stack([m for m, _ in emit]), np.stack([e for _, e in emit]))
+        model = LineModel(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.stack([m for m, _ in emit]), np.stack([e for _, e in emit]), whole)
         if step < passes and len(doc):  # a label speaks for most of its document, not for each line
             prior = np.where(np.arange(4) == y[:, None], 0.0, -2.0)
-            biased = model.log_emission(x) + prior
-            own = _tag_biased(model, biased, doc)
+            own = model.best_path(model.log_emission(x) + prior, doc)
             bad = _contrary(own, y, chars, doc)
             own[bad] = y[bad]
     return model
 
 
-def _tag_biased(model: LineModel, e: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    class Fixed(LineModel):
-        def log_emission(self, x):
-            return e
-
-    return Fixed(model.start, model.move, model.mix, model.emit).tag(np.zeros((len(e), 1)), doc)
-
-
 def _contrary(own: np.ndarray, y: np.ndarray, chars: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Lines of documents whose label would no longer hold most of the characters but half-way (a doubtful change)."""
+    """Lines of documents whose label would no longer hold half of the characters."""
     agree = np.bincount(doc, chars * (own == y)) / np.maximum(np.bincount(doc, chars), 1)
-    return (agree[doc] > 0.25) & (agree[doc] < 0.5)
+    return agree[doc] < 0.5
 
 
 def shares(texts: list[str], model: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Characters (docs, 4) by kind; lines (docs,); lines that end in a closing mark (docs,)."""
     x, doc, chars = line_features(texts)
-    tags = model.tag(x, doc)
+    tags = model.tag(x, doc, chars)
     out = np.zeros((len(texts), len(KINDS)))
     np.add.at(out, (doc, tags), chars)
     return out, np.bincount(doc, minlength=len(texts)), np.bincount(doc, np.isin(x[:, 7], (5, 6)) if len(x) else None, minlength=len(texts))
 
 
-def _labelled(documents: DataFrame, labels: DataFrame, fit_labels: int) -> tuple[list[str], list[str]]:
-    """At most ``fit_labels`` labelled documents (a bounded sample, whatever the size of the tables)."""
-    lab = labels.where(F.col("kind").isin(*KINDS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("kind").alias("kind"))
-    lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_labels)
-    rows = documents.select("doc_id", "text").join(F.broadcast(lab), "doc_id").where(F.length(F.trim("text")) > 0)
-    picked = sorted((r[0], r[1], r[2]) for r in rows.collect())
-    return [r[1] for r in picked], [r[2] for r in picked]
+def _labelled(documents: DataFrame, labels: DataFrame, fit_labels: int, fit_chars: int) -> tuple[list[str], list[str]]:
+    """A bounded sample of labelled documents, in hash order; documents with labels of several kinds are left out."""
+    lab = labels.where(F.col("kind").isin(*KINDS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("kind").alias("kind"), F.max("kind").alias("other"))
+    lab = lab.where("kind = other").select("doc_id", "kind").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_labels)
+    rows = cut(documents.select("doc_id", "text").join(F.broadcast(lab), "doc_id").where(F.length(F.trim("text")) > 0).dropDuplicates(["doc_id"]))
+    picked, used = [], 0
+    for doc_id, n in rows.select("doc_id", F.length("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if used + n <= fit_chars:
+            picked.append(doc_id)
+            used += n
+    got = sorted((r[0], r[1], r[2]) for r in rows.where(F.col("doc_id").isin(picked)).collect())
+    return [r[1] for r in got], [r[2] for r in got]
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_labels: int = 3000) -> LineModel:
-    return train(*_labelled(documents, labels, fit_labels))
+def fit(documents: DataFrame, labels: DataFrame, fit_labels: int = 6000, fit_chars: int = 50_000_000) -> LineModel:
+    """From at most ``fit_labels`` labelled documents with at most ``fit_chars`` characters in all."""
+    return train(*_labelled(documents, labels, fit_labels, fit_chars))
 
 
 def common_words(documents: DataFrame, share: float = 0.05) -> np.ndarray:

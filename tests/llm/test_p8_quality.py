@@ -41,8 +41,8 @@ def test_viterbi_is_the_best_path(labelled):
 
     texts, kinds = labelled
     model = quality.train(texts[:100], kinds[:100])
-    x, doc, _ = quality.line_features([texts[0][:200] + "\n- a\n- b\n1,2,3\n#$%", "one line", texts[1][:60]])
-    e, tags = model.log_emission(x), model.tag(x, doc)
+    x, doc, chars = quality.line_features([texts[0][:200] + "\n- a\n- b\n1,2,3\n#$%", "one line", texts[1][:60]])
+    e, tags = model.line_scores(x, doc, chars), model.tag(x, doc, chars)
     for d in np.unique(doc):
         at = np.flatnonzero(doc == d)[:6]
         if len(at) < (doc == d).sum():
@@ -75,6 +75,60 @@ def test_operator(spark, labelled):
     assert {r.kind for r in quality.verdicts(docs, model).collect()} <= set(quality.KINDS)
 
 
+FOREIGN = {
+    "ja": ("グハミ社は 実験装置 を 測定した。", "中央銀行", "株価"), "zh": ("中央银行 昨天 超过了 玛德洛公司。", "教练组", "风电场"),
+    "th": ("ผู้รักษาประตู กล่าวว่า วัคซีน ดีขึ้น", "อัยการ", "วัคซีน"), "hi": ("अस्पताल ने उर्वरक की पुष्टि की।", "गोलकीपर", "उर्वरक"),
+}
+
+
+def foreign(r, language, kind):
+    sentence, *names = FOREIGN[language]
+    words = sentence.split()
+    if kind == "prose":
+        glue = "" if language in ("ja", "zh") else " "
+        return "\n\n".join(glue.join(glue.join(r.sample(words, len(words))) for _ in range(r.randint(3, 7))) for _ in range(r.randint(2, 4)))
+    if kind == "list":
+        return "\n".join("- " + r.choice(names) for _ in range(r.randint(8, 20)))
+    return "\n".join("\t".join([r.choice(names), *(str(r.randint(1, 999)) for _ in range(4))]) for _ in range(r.randint(6, 15)))
+
+
+def test_wrong_labels_do_not_turn_a_language(prose):
+    """5 % wrong labels, among them Chinese and Japanese prose called junk; ten draws of the labels."""
+    for draw in range(10):
+        r = random.Random(draw)
+        made = []
+        for _ in range(700):
+            kind = r.choice(["prose", "prose", "prose", "list", "table", "junk"])
+            language = r.choice(["en", "en", *FOREIGN]) if kind != "junk" else "en"
+            made.append((document(r, kind, prose) if language == "en" else foreign(r, language, kind), kind, language))
+        fit, test = made[:450], made[450:]
+        given = [r.choice(quality.KINDS) if r.random() < 0.05 else k for _, k, _ in fit]
+        for language in ("zh", "ja"):
+            given[next(i for i, m in enumerate(fit) if m[1:] == ("prose", language))] = "junk"
+        by, _, _ = quality.shares([t for t, _, _ in test], quality.train([t for t, _, _ in fit], given))
+        got = [quality.KINDS[i] for i in by.argmax(1)]
+        for language in ("en", *FOREIGN):
+            pairs = [(g, k) for g, (_, k, x) in zip(got, test) if x == language]
+            assert sum(g == k for g, k in pairs) >= 0.97 * len(pairs), (draw, language, [p for p in pairs if p[0] != p[1]])
+
+
+def test_doubtful_labels_are_found(labelled):
+    texts, kinds = labelled
+    r = random.Random(3)
+    wrong = set(r.sample(range(len(texts)), 16))
+    given = [r.choice([x for x in quality.KINDS if x != k]) if i in wrong else k for i, k in enumerate(kinds)]
+    x, doc, chars = quality.line_features(texts)
+    bad = set(np.flatnonzero(quality.doubtful(x, doc, chars, np.array([quality.KINDS.index(k) for k in given]))).tolist())
+    assert len(bad & wrong) >= 15 and len(bad - wrong) <= 4
+
+
+def test_conflicting_labels_have_no_say(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4)] + [(0, "text 0")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, "prose"), (0, "prose"), (1, "prose"), (1, "junk"), (2, "list"), (3, None)], "doc_id long, kind string")
+    assert quality._labelled(docs, labels, 100, 1000) == (["text 0", "text 2"], ["prose", "list"])
+    assert len(quality._labelled(docs, labels, 100, 8)[0]) == 1
+
+
 def test_empty(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, kind string")
     model = quality.fit(docs, labels)
