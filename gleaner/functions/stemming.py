@@ -1,13 +1,17 @@
-"""The Porter stemmer (Porter 1980) with the usual later extensions, applied to vocabularies.
+"""The Porter stemmer (Porter 1980) with the usual later extensions.
 
-Words are stemmed once each: ``stem_table`` maps a vocabulary, which is then joined to the tokens.
+``stem_table`` maps a vocabulary; ``stems`` maps a column of word arrays, an Arrow batch at a time, in
+which each distinct word is stemmed once, so that no token is shuffled for its stem.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
 
-from gleaner.runtime import map_arrow
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.runtime import map_arrow, ship
 
 #: Irregular forms and the suffix tables of steps 2 to 4.
 IRREGULAR = {
@@ -113,6 +117,41 @@ def _drop(w: str) -> str:
     return w
 
 
+#: Stems that a Python worker remembers.
+KEPT_STEMS = 1 << 18
+_kept = lru_cache(KEPT_STEMS)(stem)
+
+
+def stem_arrays(words):
+    """Stems of an Arrow array of word lists; null lists stay null, null words too."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    coded = words.flatten().dictionary_encode()
+    stemmed = pa.array([_kept(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), stemmed, mask=words.is_null())
+
+
+def stems(words: Column) -> Column:
+    """The stem of every word of an array column, in order."""
+    ship(SparkSession.active())
+
+    def run(column):
+        return stem_arrays(column)
+
+    run.__annotations__ = _arrow_types()
+    return F.arrow_udf(run, "array<string>")(words)
+
+
+def _arrow_types() -> dict:
+    import pyarrow as pa
+
+    return {"column": pa.Array, "return": pa.Array}
+
+
 def stem_table(vocabulary: DataFrame, word: str = "word") -> DataFrame:
     """(word, stem) of a table of distinct words; null words are left out."""
     import pyarrow as pa

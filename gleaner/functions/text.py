@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import stemming
+
 #: The stop words.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its",
@@ -43,9 +45,10 @@ def is_apt(word: Column) -> Column:
     return word.rlike(APT) & ~word.isin(*STOP_WORDS)
 
 
-def preprocess(text: Column) -> Column:
-    """Lower-case, tokenise, keep apt words."""
-    return F.filter(tokenize(F.lower(text)), is_apt)
+def preprocess(text: Column, stem: bool = False) -> Column:
+    """Lower-case, tokenise, keep apt words; with ``stem`` then their stems (stop words go by the word as written)."""
+    words = F.filter(tokenize(F.lower(text)), is_apt)
+    return stemming.stems(words) if stem else words
 
 
 def clean_text(text: Column) -> Column:
@@ -84,7 +87,7 @@ def soundex(word: Column) -> Column:
     Runs of a digit collapse (zeros separate them), and a last digit equal to the one put out
     before it is dropped.
     """
-    d = F.translate(F.substring(word, 2, 1_000_000), SOUNDEX_LETTERS, SOUNDEX_DIGITS)
+    d = F.translate(F.substring(word, F.lit(2), F.length(word)), SOUNDEX_LETTERS, SOUNDEX_DIGITS)
     for k in "0123456":
         d = F.regexp_replace(d, f"{k}+", k)
     for k in "123456":
@@ -93,16 +96,26 @@ def soundex(word: Column) -> Column:
     return F.when(word.rlike(r"^.[a-z]*$"), code)
 
 
-def highlight(text: Column, terms: Column, mark: tuple[str, str] = ("\x1b[31m", "\x1b[0m")) -> Column:
+#: Red on a console, and back.
+MARK = ("\x1b[31m", "\x1b[0m")
+
+
+def highlight(text: Column, terms: Column, mark: tuple[str, str] = MARK) -> Column:
     """Every whole word of ``terms`` in ``text`` once between the marks, whatever its case."""
     on, off = (F.lit(m) for m in mark)
     words = F.concat(F.lit(r"(?iu)(?<!\p{L})("), F.array_join(F.array_distinct(terms), "|"), F.lit(r")(?!\p{L})"))
     return F.when(F.size(terms) > 0, F.regexp_replace(text, words, F.concat(on, F.lit("$1"), off))).otherwise(text)
 
 
-def with_terms(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, terms): the apt words of every document in order."""
-    return documents.select("doc_id", preprocess(F.col(text)).alias("terms"))
+def stemmed_matches(words: Column, terms: Column) -> Column:
+    """The ``words`` whose stems are among ``terms``."""
+    stems = stemming.stems(words)
+    return F.filter(F.transform(F.arrays_zip(words.alias("w"), stems.alias("s")), lambda x: F.when(F.array_contains(terms, x["s"]), x["w"])), lambda w: w.isNotNull())
+
+
+def with_terms(documents: DataFrame, text: str = "text", stem: bool = False, key: str = "doc_id") -> DataFrame:
+    """(key, terms): the apt words (or their stems) of every document in order."""
+    return documents.select(key, preprocess(F.col(text), stem).alias("terms"))
 
 
 def exploded(with_terms: DataFrame, key: str = "doc_id") -> DataFrame:

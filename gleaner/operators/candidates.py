@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.index import Index
 from gleaner.operators.ranking import matched
-from gleaner.runtime import small
+from gleaner.runtime import cut, small
 
 
 def tier_filter(index: Index, query: DataFrame, min_docs: int) -> DataFrame:
@@ -20,13 +20,13 @@ def tier_filter(index: Index, query: DataFrame, min_docs: int) -> DataFrame:
     terms = query.select("qid", "term").distinct()
     sizes = terms.groupBy("qid").agg(F.count("*").alias("n_query"))
     docs = matched(index, terms).groupBy("qid", "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("is_high")).alias("h"))
-    docs = docs.join(small(sizes), "qid")
+    docs = cut(docs.join(small(sizes), "qid"))  # counted and filtered from one aggregation
     flags = {1: F.col("h") == F.col("n_query"), 2: F.col("n") == F.col("n_query"), 3: F.col("h") > 0}
     chosen = docs.groupBy("qid").agg(*(F.count_if(f).alias(f"n{t}") for t, f in flags.items()))
     tier = F.lit(4)
     for t in (3, 2, 1):
         tier = F.when(F.col(f"n{t}") >= min_docs, t).otherwise(tier)
-    rows = docs.join(small(chosen.select("qid", tier.alias("tier"))), "qid")
+    rows = docs.join(small(cut(chosen.select("qid", tier.alias("tier")))), "qid")
     keep = F.col("tier") == 4
     for t, f in flags.items():
         keep = keep | ((F.col("tier") == t) & f)

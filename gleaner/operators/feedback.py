@@ -17,8 +17,13 @@ def feedback_docs(ranked: DataFrame, k: int = 5) -> DataFrame:
 
 
 def doc_vectors(documents: DataFrame, index: Index) -> DataFrame:
-    """(qid, doc_id, term, w, first_pos) of ``documents(qid, doc_id, text)``: tf * log10(N / df), 0 for unknown terms."""
-    terms = documents.select("qid", "doc_id", F.posexplode(text.preprocess(F.col("text"))).alias("pos", "term"))
+    """(qid, doc_id, term, w, first_pos) of ``documents(qid, doc_id, text)``: tf * log10(N / df), 0 for unknown terms.
+
+    Texts (summaries, say) go through the index's analysis; whole documents of the index may come with
+    their ``terms`` instead of a text.
+    """
+    words = F.col("terms") if "terms" in documents.columns else text.preprocess(F.col("text"), index.stemmed)
+    terms = documents.select("qid", "doc_id", words.alias("terms")).select("qid", "doc_id", F.posexplode("terms").alias("pos", "term"))
     freq = terms.groupBy("qid", "doc_id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
     idf = F.log10(F.lit(float(index.stats["n_docs"])) / F.col("df"))
     return freq.join(index.terms.select("term", "df"), "term", "left").select("qid", "doc_id", "term", (F.col("tf") * F.coalesce(idf, F.lit(0.0))).alias("w"), "first_pos")
@@ -54,5 +59,5 @@ def rocchio(query: DataFrame, vectors: DataFrame, judged: DataFrame, alpha: floa
 
 
 def pseudo_relevance(query: DataFrame, ranked_texts: DataFrame, index: Index, relevant_n: int = 5, alpha: float = 1.0, beta: float = 0.75, gamma: float = 0.0) -> DataFrame:
-    """Rocchio on ``ranked_texts(qid, rank, doc_id, text)``, the better half (at most ``relevant_n``) taken as relevant."""
+    """Rocchio on ``ranked_texts(qid, rank, doc_id, text or terms)``, the better half (at most ``relevant_n``) taken as relevant."""
     return rocchio(query, doc_vectors(ranked_texts, index), feedback_docs(ranked_texts, relevant_n), alpha, beta, gamma)

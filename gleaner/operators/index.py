@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import stemming, text
-from gleaner.runtime import cut, spread
+from gleaner.functions import text
+from gleaner.runtime import cut, drop, parallelism, spread, written
 
 HIGH_TF = 5
 
@@ -29,7 +29,11 @@ def doc_lengths(terms: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Tables of one collection. ``stats`` has n_docs, total_len, avgdl and n_terms."""
+    """Tables of one collection, and its analyser. ``stats`` has n_docs, total_len, avgdl and n_terms.
+
+    Whatever is compared with the terms of an index (queries, sentences, feedback) goes through
+    ``analyse`` or takes its ``stemmed``.
+    """
 
     documents: DataFrame  # doc_id, text
     terms_of: DataFrame  # doc_id, terms (in order)
@@ -41,16 +45,13 @@ class Index:
 
     @classmethod
     def build(cls, documents: DataFrame, high_tf: int = HIGH_TF, use_stem: bool = False) -> Index:
-        """Index ``documents(doc_id, text)``.
+        """Index ``documents(doc_id, text)``, words as they are or (``use_stem``) by their stems.
 
         doc_id must be unique and not null (a repeated id is refused); null and empty texts count
         as documents of length 0. Other columns are ignored.
         """
         documents = documents.select("doc_id", "text")
-        terms_of = text.with_terms(spread(documents))
-        if use_stem:
-            terms_of = stemmed_terms(terms_of)
-        terms_of = cut(terms_of)
+        terms_of = cut(text.with_terms(spread(documents), stem=use_stem))
         lengths = doc_lengths(terms_of)
         n, distinct, total = lengths.agg(F.count("*"), F.countDistinct("doc_id"), F.coalesce(F.sum("len"), F.lit(0))).first()
         if n != distinct:
@@ -59,7 +60,7 @@ class Index:
         freq = cut(freq.join(lengths, "doc_id"))
         terms = cut(term_stats(freq))
         # range partitions of (term, doc_id): a term in very many documents spans several
-        postings = freq.join(terms.select("term", "df"), "term").withColumn("is_high", F.col("tf") >= high_tf)
+        postings = _with_df(freq, terms).withColumn("is_high", F.col("tf") >= high_tf)
         postings = cut(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
         stats = {"n_docs": n, "total_len": total, "avgdl": total / n if n else 0.0, "n_terms": terms.count()}
         return cls(documents, terms_of, postings, terms, lengths, stats, use_stem)
@@ -75,10 +76,24 @@ class Index:
         s = self.stats
         return spark.createDataFrame([(s["n_docs"], s["total_len"], s["avgdl"], s["n_terms"])], "n_docs long, total_len long, avgdl double, n_terms long")
 
+    def analyse(self, rows: DataFrame, key: str) -> DataFrame:
+        """(key, terms) of rows(key, text), by the analysis of the index."""
+        return text.with_terms(rows, stem=self.stemmed, key=key)
+
+    @classmethod
+    def open_or_build(cls, documents: DataFrame, path: str, high_tf: int = HIGH_TF, use_stem: bool = True) -> Index:
+        """The index kept at ``path`` if it was built from these documents with these settings, else built and kept there."""
+        spark = documents.sparkSession
+        mark = fingerprint(documents, high_tf=high_tf, use_stem=use_stem)
+        if not written(spark, f"{path}/manifest") or cls.load(spark, path, mark) is None:
+            cls.build(documents, high_tf, use_stem).save(path, mark)
+        return cls.load(spark, path, mark)
+
     TABLES = ("documents", "terms_of", "postings", "terms", "lengths")
 
     def save(self, path: str, fingerprint: str) -> None:
-        """Write every table under ``path``; the manifest with the fingerprint comes last."""
+        """Write every table under ``path``; the manifest with the fingerprint comes last, so a broken run leaves none."""
+        drop(self.documents.sparkSession, f"{path}/manifest")
         for name in self.TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.documents.sparkSession
@@ -90,8 +105,7 @@ class Index:
     def load(cls, spark: SparkSession, path: str, fingerprint: str) -> Index | None:
         """The index at ``path`` if it is complete and of this fingerprint, else None."""
         manifest = f"{path}/manifest"
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(manifest + "/_SUCCESS")
-        if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        if not written(spark, manifest):
             return None
         row = spark.read.schema(_MANIFEST).parquet(manifest).first()
         if row is None or row.fingerprint != fingerprint:
@@ -109,20 +123,25 @@ def fingerprint(documents: DataFrame, **config) -> str:
     return f"{row[0]}:{row[1]}:{sorted(config.items())}"
 
 
-def stemmed_terms(terms_of: DataFrame) -> DataFrame:
-    """Replace each term by its stem; the stemmer sees every distinct word once."""
-    terms_of = cut(terms_of)
-    tokens = text.exploded(terms_of)
-    table = stemming.stem_table(tokens.select("term").distinct(), "term")
-    joined = tokens.join(table.withColumnRenamed("word", "term"), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("x"))
-    stems = joined.select("doc_id", F.col("x.stem").alias("terms"))
-    return terms_of.select("doc_id").join(stems, "doc_id", "left").select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+#: Occurrences from which a term counts as frequent, whatever the number of partitions.
+FREQUENT_DF = 10_000
+
+
+def _with_df(freq: DataFrame, terms: DataFrame) -> DataFrame:
+    """Add df to the postings.
+
+    The terms with more than a fraction of a partition's postings are few by construction (their number is
+    bounded by the number of partitions) and are broadcast; so a term in every document is never gathered
+    in one task. The others take a plain join.
+    """
+    total = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    least = max(FREQUENT_DF, total // (8 * parallelism(freq.sparkSession)))
+    df = terms.select("term", "df")
+    frequent = F.broadcast(df.where(F.col("df") >= least))
+    return freq.join(frequent, "term").unionAll(freq.join(frequent, "term", "left_anti").join(df.where(F.col("df") < least), "term"))
 
 
 def query_terms(queries: DataFrame, use_stem: bool = False) -> DataFrame:
     """(qid, term, weight) from (qid, text): the same analysis as documents, weights are counts."""
-    terms = text.with_terms(queries.select(F.col("qid").alias("doc_id"), "text"))
-    if use_stem:
-        terms = stemmed_terms(terms)
-    rows = text.exploded(terms.withColumnRenamed("doc_id", "qid"), "qid")
+    rows = text.exploded(text.with_terms(queries, stem=use_stem, key="qid"), "qid")
     return rows.groupBy("qid", "term").agg(F.count("*").cast("double").alias("weight"))

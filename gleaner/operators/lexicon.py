@@ -31,7 +31,8 @@ def wildcard_options(kgrams: DataFrame, patterns: DataFrame, dictionary: DataFra
     grams = F.filter(F.array_distinct(text.kgrams(F.col("pattern"), k)), lambda g: ~g.contains("*"))
     wanted = wanted.withColumn("grams", grams)
     needed = small(wanted.select("pattern", "regex", F.size("grams").alias("n"), F.explode("grams").alias("gram")))
-    hits = kgrams.distinct().join(needed, "gram").groupBy("pattern", "regex", "n", "word").agg(F.count("*").alias("found"))
+    # only rows of the wanted grams are counted (a gram may stand in a word more than once)
+    hits = kgrams.join(needed, "gram").groupBy("pattern", "regex", "n", "word").agg(F.countDistinct("gram").alias("found"))
     out = hits.where((F.col("found") == F.col("n")) & F.expr("rlike(word, regex)")).select("pattern", "word")
     if dictionary is not None:
         free = small(wanted.where(F.size("grams") == 0).select("pattern", "regex"))

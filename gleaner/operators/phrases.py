@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.index import HIGH_TF, Index
-from gleaner.runtime import cut
+from gleaner.runtime import cut, map_arrow, small
 
 #: (least frequency, least PMI) of pairs and triples: in the index, and in queries.
 BUILD = {2: (2, 6.0), 3: (2, 12.0)}
@@ -24,29 +24,62 @@ def ngrams(terms: Column, n: int) -> Column:
     return F.when(last >= 0, runs).otherwise(F.array().cast("array<array<string>>"))
 
 
-def _occurrences(word: Column) -> Column:
-    return F.size(F.filter("terms", lambda w: w == word))
-
-
 def pmi(terms_of: DataFrame, n: int, min_freq: int, min_pmi: float, key: str = "doc_id") -> DataFrame:
     """(key, gram, tf, pmi) of the n-grams of each document that reach both bounds.
 
     log2(c N^(n-1) / product of the counts of the words), N being the apt words of the document.
-    With two occurrences or more this is at most log2(N / 2) (pairs) or log2(N^2 / 4) (triples),
-    so shorter documents are passed over; counts are looked up inside the row, without a join.
+    With two occurrences or more this is at most log2(N / 2) (pairs) or log2(N^2 / 4) (triples), so
+    shorter documents are passed over. All figures belong to one document, so they are counted where
+    its row is, by sorting word numbers: nothing is shuffled.
     """
+    import pyarrow as pa
+
+    if n not in (2, 3):
+        raise ValueError("phrases have two or three words")
+
+    def run(batches):
+        for b in batches:
+            for rows in (b.slice(i, PMI_ROWS) for i in range(0, b.num_rows, PMI_ROWS)):
+                yield _pmi_batch(rows, n, min_freq, min_pmi, key)
+
     size = F.size("terms")
     rows = terms_of.where(size >= n)
     if min_freq >= 2:
         rows = rows.where(size >= 2 ** (min_pmi / (n - 1) + 1))
-    grams = rows.select(key, "terms", F.explode(ngrams(F.col("terms"), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"), F.first("terms").alias("terms"))
-    grams = grams.where(F.col("tf") >= min_freq)
-    product = F.lit(1.0)
+    kind = terms_of.schema[key].dataType.simpleString()
+    return map_arrow(rows.select(key, "terms"), run, f"{key} {kind}, gram array<string>, tf long, pmi double")
+
+
+#: Documents whose n-grams are counted together.
+PMI_ROWS = 256
+
+
+def _pmi_batch(rows, n: int, min_freq: int, min_pmi: float, key: str):
+    """The n-grams of a slice of (key, terms) that reach the bounds, as an Arrow batch."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    terms = rows.column(1)
+    coded = terms.flatten().dictionary_encode()
+    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(size)), size)
+    _, used, uses = np.unique(doc * len(coded.dictionary) + word, return_inverse=True, return_counts=True)
+    count = uses[used].astype(np.float64)  # of each position's word in its document
+    at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
+    code, product = doc[at], np.ones(len(at))
     for j in range(n):
-        product = product * _occurrences(F.get("gram", F.lit(j)))
-    total = F.size("terms").cast("double")
-    value = F.log2(F.col("tf") * (total ** (n - 1) if n > 1 else 1) / product)
-    return grams.select(key, "gram", "tf", value.alias("pmi")).where(F.col("pmi") >= min_pmi - 1e-12)
+        # numbers of the prefixes so far, kept dense so that the next word fits beside them
+        code = np.unique(code * len(coded.dictionary) + word[at + j], return_inverse=True)[1]
+        product *= count[at + j]
+    _, first, tf = np.unique(code, return_index=True, return_counts=True)
+    value = np.log2(tf * size[doc[at[first]]].astype(np.float64) ** (n - 1) / product[first])
+    keep = (tf >= min_freq) & (value >= min_pmi - 1e-12)
+    start = at[first[keep]]
+    words = coded.dictionary.take(pa.array(word[(start[:, None] + np.arange(n)).ravel()]))
+    gram = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * n), words)
+    return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc[start])), gram, pa.array(tf[keep].astype(np.int64)), pa.array(value[keep])], names=[key, "gram", "tf", "pmi"])
 
 
 def accepted(terms_of: DataFrame, bounds: dict = BUILD) -> DataFrame:
@@ -56,9 +89,12 @@ def accepted(terms_of: DataFrame, bounds: dict = BUILD) -> DataFrame:
 
 
 def phrase_postings(terms_of: DataFrame, grams: DataFrame) -> DataFrame:
-    """(gram, doc_id, tf) of every accepted phrase in all documents that hold it: one hash join on the phrase."""
+    """(gram, doc_id, tf) of every accepted phrase in all documents that hold it: one hash join on the phrase.
+
+    Few phrases pick their n-grams before anything is counted or shuffled.
+    """
     both = terms_of.select("doc_id", F.explode(F.concat(ngrams(F.col("terms"), 2), ngrams(F.col("terms"), 3))).alias("gram"))
-    return both.groupBy("gram", "doc_id").agg(F.count("*").alias("tf")).join(grams, "gram", "left_semi")
+    return both.join(small(grams), "gram", "left_semi").groupBy("gram", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def phrase_stats(postings: DataFrame) -> DataFrame:
@@ -74,7 +110,7 @@ def query_phrases(query_terms_of: DataFrame) -> DataFrame:
 
 def phrase_view(index: Index, bounds: dict = BUILD) -> Index:
     """The index with phrases (joined by blanks) for terms, so every scorer works on phrases; lengths stay those of words."""
-    found = cut(phrase_postings(index.terms_of, accepted(index.terms_of, bounds)))
+    found = cut(phrase_postings(index.terms_of, cut(accepted(index.terms_of, bounds))))
     stats = cut(phrase_stats(found))
     term = F.array_join("gram", " ").alias("term")
     postings = found.join(stats.select("gram", "df"), "gram").join(index.lengths, "doc_id").select(term, "doc_id", "tf", "len", "df", (F.col("tf") >= HIGH_TF).alias("is_high"))

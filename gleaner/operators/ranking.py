@@ -22,7 +22,9 @@ PUSHED_TERMS = 2_000
 
 def narrowed(postings: DataFrame, query: DataFrame) -> DataFrame:
     """Push the terms of a small query batch into the scan: postings are sorted by term, so row groups are skipped."""
-    terms = query.select("term").where("term is not null").distinct().limit(PUSHED_TERMS + 1).collect()
+    if "_gleaner_terms" not in query.__dict__:  # asked once for the same batch
+        query._gleaner_terms = query.select("term").where("term is not null").distinct().limit(PUSHED_TERMS + 1).collect()
+    terms = query._gleaner_terms
     return postings.where(F.col("term").isin([t[0] for t in terms])) if len(terms) <= PUSHED_TERMS else postings
 
 
@@ -31,6 +33,13 @@ def matched(index: Index, query: DataFrame, high_only: bool = False) -> DataFram
     return narrowed(postings, query).join(small(query), "term")
 
 
+def _matched_terms(index: Index, query: DataFrame, high_only: bool = False) -> DataFrame:
+    """Postings of the distinct terms of each query, without their weights."""
+    if "_gleaner_pairs" not in query.__dict__:
+        query._gleaner_pairs = query.select("qid", "term").distinct()
+    return matched(index, query._gleaner_pairs, high_only)
+
+
 def bm25(index: Index, query: DataFrame, k1: float = 1.2, b: float = 0.75, high_only: bool = False) -> DataFrame:
     """Okapi BM25 over distinct query terms (weights play no part); unknown terms add nothing.
 
@@ -38,7 +47,7 @@ def bm25(index: Index, query: DataFrame, k1: float = 1.2, b: float = 0.75, high_
     """
     idf = F.log10(F.lit(float(index.stats["n_docs"])) / F.col("df"))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(float(index.stats["avgdl"] or 1)))
-    rows = matched(index, query.select("qid", "term").distinct(), high_only)
+    rows = _matched_terms(index, query, high_only)
     return rows.groupBy("qid", "doc_id").agg(F.sum(idf * F.col("tf") * F.lit(k1 + 1) / norm).alias("score"))
 
 
@@ -59,7 +68,7 @@ def _query_sizes(query: DataFrame) -> DataFrame:
 def lm_additive(index: Index, query: DataFrame, candidates: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Unigram language model with additive smoothing: product of (alpha + tf) / (len + alpha |V|)."""
     floor = F.log(F.lit(alpha))
-    hits = matched(index, query.select("qid", "term").distinct()).groupBy("qid", "doc_id").agg(F.sum(F.log(F.lit(alpha) + F.col("tf")) - floor).alias("gain"))
+    hits = _matched_terms(index, query).groupBy("qid", "doc_id").agg(F.sum(F.log(F.lit(alpha) + F.col("tf")) - floor).alias("gain"))
     rows = candidates.select("qid", "doc_id").join(hits, ["qid", "doc_id"], "left").join(index.lengths, "doc_id").join(small(_query_sizes(query)), "qid")
     per = floor - F.log(F.col("len") + F.lit(alpha * index.stats["n_terms"]))
     return rows.select("qid", "doc_id", (F.coalesce("gain", F.lit(0.0)) + F.col("n_query") * per).alias("log_score"))
@@ -88,7 +97,7 @@ def category_lengths(index: Index, categories: DataFrame) -> DataFrame:
 
 def _category_hits(index: Index, query: DataFrame, categories: DataFrame) -> DataFrame:
     """(qid, category, term, tf): only postings of query terms meet the category map."""
-    rows = matched(index, query.select("qid", "term").distinct()).select("qid", "term", "doc_id", "tf")
+    rows = _matched_terms(index, query).select("qid", "term", "doc_id", "tf")
     return rows.join(categories.where("category is not null"), "doc_id").groupBy("qid", "category", "term").agg(F.sum("tf").alias("tf"))
 
 
@@ -114,7 +123,10 @@ def category_lm_jelinek_mercer(index: Index, query: DataFrame, categories: DataF
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score", digits: int | None = None) -> DataFrame:
-    """(qid, rank, doc_id, score): best first, equal scores by smaller doc_id, null scores last."""
+    """(qid, rank, doc_id, score): best first, equal scores by smaller doc_id, null scores last.
+
+    Scores count as equal that agree to nine places, since a sum depends on the order of its terms.
+    """
     s = F.round(score, digits) if digits is not None else F.col(score)
-    ranked = scores.select("qid", "doc_id", s.alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc_nulls_last("score"), "doc_id")))
+    ranked = scores.select("qid", "doc_id", s.alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc_nulls_last(F.round("score", 9)), "doc_id")))
     return ranked.where(F.col("rank") <= k).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) a folder of this machine is made, kept for the life of the session.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the session is local
+    (tests, a laptop) a folder of this machine is made, kept for the life of the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that every machine of the cluster can reach")
         named = "file://" + tempfile.mkdtemp(prefix="gleaner-scratch-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -46,6 +48,26 @@ def still_there(df: DataFrame) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a table, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(path: str, make) -> DataFrame:
+    """The table at ``path``; ``make()`` is written there if it isn't complete."""
+    spark = SparkSession.active()
+    if not written(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
@@ -85,5 +107,8 @@ BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hint a broadcast only after counting that ``df`` has no more than ``rows`` rows (counted once for the same object)."""
+    known = df.__dict__.setdefault("_gleaner_small", {})
+    if rows not in known:
+        known[rows] = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if known[rows] else df

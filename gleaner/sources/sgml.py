@@ -64,9 +64,12 @@ def categories(elements: DataFrame) -> DataFrame:
     return rows.select(decode_entities(F.col("category")).alias("category"), "doc_id")
 
 
-def category_lists(categories: DataFrame) -> DataFrame:
-    """(category, doc_ids) with repeats; null categories are dropped."""
-    return categories.where("category is not null").groupBy("category").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+def category_map(categories: DataFrame) -> DataFrame:
+    """(category, doc_id, n): how often each document stands under each category; null categories are dropped.
+
+    Rows and not a list a category, which could hold every document.
+    """
+    return categories.where("category is not null").groupBy("category", "doc_id").agg(F.count("*").alias("n"))
 
 
 def write(elements: DataFrame, path: str) -> None:

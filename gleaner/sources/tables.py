@@ -9,6 +9,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Changes when the files of a table do: their number and bytes, and when the table was last written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(path)
+    return held.getFileCount(), held.getLength(), fs.getFileStatus(path).getModificationTime()
+
+
 def distinct_by(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row per non-null ``key`` (repeated rows are equal), with the given columns only.
 

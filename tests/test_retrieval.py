@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import text
+from gleaner.functions import stemming, text
 from gleaner.operators import feedback, index as ix, lexicon, phrases, ranking, summary
 from gleaner.operators.candidates import tier_filter
 from gleaner.plans.search import Searcher, format_results
@@ -165,6 +165,108 @@ def test_stemmed_index(spark):
     assert {r.word for r in index.dictionary().collect()} == {"running", "runs", "nothing"}
 
 
+STEMS = [(1, "Companies were running. Nothing else."), (2, "A company runs. The river ran."), (3, "Fish swim.")]
+
+
+def test_stemmed_search(spark):
+    """Stems: compani run noth els / compani run river ran / fish swim."""
+    s = Searcher(ix.Index.build(spark.createDataFrame(STEMS, "doc_id long, text string"), use_stem=True))
+    queries = spark.createDataFrame([(1, "companies running")], "qid long, text string")
+    score = 2 * math.log10(3 / 2) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 4 / (10 / 3)))
+    for expansion in (False, True):
+        got = s.search(queries, 2, suggest=False, expansion=expansion).orderBy("rank").collect()
+        assert [(r.doc_id, r.summary) for r in got] == [(1, "Companies were running. "), (2, "A company runs. ")]
+        assert [r.score for r in got] == pytest.approx([score] * 2)
+    found = spark.createDataFrame(got)
+    marked = {r.doc_id: r.summary for r in s.highlighted(found, queries).collect()}
+    assert marked[2] == "A \x1b[31mcompany\x1b[0m \x1b[31mruns\x1b[0m. "
+    # the stems that feedback sees: of document 1, both at 0.75 * log10(3 / 2)
+    top = found.select("qid", "rank", "doc_id", F.col("summary").alias("text"))
+    changed = {r.term: r.weight for r in feedback.pseudo_relevance(s.analyse(queries), top, s.index, 2).collect()}
+    assert changed == pytest.approx({"compani": 0.75 * math.log10(1.5), "run": 0.75 * math.log10(1.5)})
+    phrase = Searcher(ix.Index.build(spark.createDataFrame([(1, " ".join(f"w{'abcdefghij'[i % 10] * (i // 10 + 1)} x" for i in range(70)) + " running companies runs company")], "doc_id long, text string"), use_stem=True))
+    assert {tuple(r.gram) for r in phrases.accepted(phrase.index.terms_of, {2: (2, 5.0)}).collect()} == {("run", "compani")}
+    found = phrases.query_phrases(phrase.index.analyse(spark.createDataFrame([(1, "run company")], "qid long, text string"), "qid"))
+    assert [tuple(r) for r in found.collect()] == [(1, "run compani", 1.0)]
+    unknown = spark.createDataFrame([(1, "rivver")], "qid long, text string")
+    assert [tuple(r) for r in s.suggestions(unknown).collect()] == [(1, "soundex", "rivver", "river")]
+
+
+def test_stems_of_arrays(spark):
+    rows = [(1, ["running", "runs", None]), (2, []), (3, None), (4, ["companies"] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, words array<string>").repartition(1)
+    got = {r[0]: r[1] for r in df.select("doc_id", stemming.stems(F.col("words"))).collect()}
+    assert got == {1: ["run", "run", None], 2: [], 3: None, 4: ["compani"] * 3}
+
+
+def test_kept_tables_follow_the_documents(spark, tmp_path):
+    docs = spark.createDataFrame(STEMS, "doc_id long, text string")
+    s = Searcher.open_or_build(docs, str(tmp_path))
+    words, grams, sounds, terms = ({tuple(r) for r in t.collect()} for t in (s.dictionary, s.kgrams, s.soundex, s.phrase_index.terms))
+    folders = sorted(p.name for p in next(tmp_path.iterdir()).iterdir())
+    assert {"dictionary", "kgrams2", "soundex", "phrases", "phrase_terms", "postings", "manifest"} <= set(folders)
+    written = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("part-*")}
+    again = Searcher.open_or_build(docs.repartition(2), str(tmp_path))
+    assert [{tuple(r) for r in t.collect()} for t in (again.dictionary, again.kgrams, again.soundex, again.phrase_index.terms)] == [words, grams, sounds, terms]
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("part-*")} == written
+    more = Searcher.open_or_build(docs.unionAll(spark.createDataFrame([(4, "A new word.")], docs.schema)), str(tmp_path))
+    assert more.index.stats["n_docs"] == 4 and more.dictionary.where("word = 'new'").count() == 1
+    plain = Searcher.open_or_build(docs, str(tmp_path), use_stem=False)
+    assert not plain.index.stemmed and plain.index.terms.where("term = 'companies'").count() == 1
+
+
+def test_models_take_their_settings(spark, index):
+    s = Searcher(index)
+    queries = spark.createDataFrame([(1, "apple")], "qid long, text string")
+    jm = {r.doc_id: math.exp(r.score) for r in s.search(queries, 3, scoring="lm", lam=0.5, suggest=False).collect()}
+    assert jm == pytest.approx({1: 0.469697, 2: 0.386364}, abs=2e-6)
+    half = {r.doc_id: math.exp(r.score) for r in s.search(queries, 3, scoring="lm", alpha=0.5, suggest=False).collect()}
+    assert half == pytest.approx({1: 2.5 / 5, 2: 1.5 / 4})
+    flat = {r.doc_id: r.score for r in s.search(queries, 3, b=0.0, suggest=False).collect()}
+    assert flat == pytest.approx({1: math.log10(2) * 2 * 2.2 / 3.2, 2: math.log10(2)})
+    with pytest.raises(ValueError, match="phrases"):
+        s.search(queries, 3, scoring="lm", phrase=True)
+    with pytest.raises(ValueError, match="scoring"):
+        s.search(queries, 3, scoring="nonsense", phrase=True)
+    assert s.search(queries, 3, scoring="lm", phrase=True, strict_compat=True).count() == 0
+    high = s.search(spark.createDataFrame([(1, "banana")], "qid long, text string"), 1, inexact=True, restrict_to_candidates=True)
+    assert [r.doc_id for r in high.collect()] == [3]
+
+
+def test_console(spark, index):
+    said = []
+    s = Searcher(index)
+    assert [d for d, _ in s.answer("apple banana", 2, said.append)] == [1, 3]
+    assert "\x1b[31mapple\x1b[0m" in said[1] and said[0].endswith("2 results") and said[2].endswith("seconds")
+    said.clear()
+    assert s.answer("appel", 2, said.append) == [] and said == ["appel sounds like: apple"]
+    said.clear()
+    assert s.answer("b*a", 2, said.append) == [] and said == ["Did you mean for b*a: banana"]
+
+
+def test_frequent_terms_take_the_broadcast_way(spark, index, monkeypatch):
+    monkeypatch.setattr(ix, "FREQUENT_DF", 2)
+    monkeypatch.setattr(ix, "parallelism", lambda spark: 10)
+    again = ix.Index.build(index.documents)
+    assert sorted(map(tuple, again.postings.collect())) == sorted(map(tuple, index.postings.collect()))
+
+
+def test_phrases_against_brute_force(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    docs = [(i, [r.choice("abcdefg") for _ in range(r.randint(0, 60))]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, terms array<string>").repartition(3)
+    for n in (2, 3):
+        want = {}
+        for i, t in docs:
+            one, grams = Counter(t), Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
+            want |= {(i, g): (c, round(v, 9)) for g, c in grams.items() if c >= 2 and (v := math.log2(c * len(t) ** (n - 1) / math.prod(one[w] for w in g))) >= 0.5}
+        got = {(x.doc_id, tuple(x.gram)): (x.tf, round(x.pmi, 9)) for x in phrases.pmi(df, n, 2, 0.5).collect()}
+        assert got == want and want
+
+
 def test_plans(spark, index):
     plan = ranking.bm25(index, q(spark, "apple"))._jdf.queryExecution().toString()
     assert "EqualTo(term,apple)" in plan or "In(term, [apple])" in plan

@@ -24,9 +24,9 @@ def test_written_markup_is_read_again(spark, tmp_path, as_rows):
     assert as_rows(sgml.documents(sgml.scan(spark, str(tmp_path / "out"), "part-*"))) == [(0, "ราคา & café"), (1, "油价 \U0001f600 <A>"), (2, "&#233; stays")]
 
 
-def test_category_lists_keep_repeats(spark):
+def test_category_map_keeps_repeats(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), ("a", 2), (None, 3)], "category string, doc_id long")
-    assert {r.category: list(r.doc_ids) for r in sgml.category_lists(rows).collect()} == {"a": [1, 2, 2]}
+    assert {tuple(r) for r in sgml.category_map(rows).collect()} == {("a", 1, 1), ("a", 2, 2)}
 
 
 def test_distinct_by(spark, as_rows):
