@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import codepoints as cpk
+from gleaner.llm import codepoints as cpk
 from gleaner.runtime import cut, map_arrow, small, spread
 
 RUN, SHINGLE = 13, 5

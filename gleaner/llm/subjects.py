@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import codepoints as cpk
+from gleaner.llm import codepoints as cpk
 from gleaner.llm import sentences as sent
 from gleaner.llm.leakage import _lower
 from gleaner.runtime import cut, map_arrow, spread
