@@ -54,9 +54,13 @@ def _reports(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return distinct_by(table(spark, d, "reuters"), "newid", *columns)
 
 
+#: Terms of a suffix, from whose pass the single terms are read.
+SUFFIX_TERMS = 2
+
+
 def _marked_terms(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "reuters").agg(F.countDistinct("newid")).first()[0]
-    return termcounts.marked(termcounts.term_counts(_reports(spark, d, "title", "body")), n)
+    return termcounts.marked(termcounts.term_counts(_reports(spark, d, "title", "body"), max_terms=SUFFIX_TERMS).where("n_terms = 1"), n)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,12 +6,12 @@ reverse lexicographic order, and one pass with a stack of the open prefixes yiel
 and the number of records of every prefix: when a suffix leaves a prefix behind, that prefix is
 complete.
 
-Before the shuffle each block of texts is sorted the same way. A block sends each of its distinct
-suffixes once, with its count and, for each prefix length, the number of records in which it is the
-first suffix with that prefix. Summed over all suffixes that share a prefix these are exactly the
-records holding it, since blocks have no record in common. A term that stands in every text thus
-arrives as one row a block and suffix; where n-grams are asked for, suffixes are routed by their
-first two terms, and the counts of single terms are added up afterwards.
+Before the shuffle each block of texts is sorted the same way, and the blocks of a task are merged. A
+task sends each of its distinct suffixes with its count and, for each prefix length, the number of
+records in which it is the first suffix with that prefix. Summed over all suffixes that share a prefix
+these are exactly the records holding it, since blocks have no record in common. A term that stands in
+every text thus arrives once a task and suffix. First terms with more suffixes than a task should hold
+are routed by their first two terms, and their own counts are added up afterwards.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import codepoints as cpk
-from gleaner.runtime import map_arrow, spread
+from gleaner.llm import codepoints as cpk
+from gleaner.runtime import cut, map_arrow, spread
 
 #: Separates the terms of a suffix; sorts below every letter.
 SEP = " "
@@ -75,30 +75,70 @@ def block_suffixes(record: np.ndarray, part: np.ndarray, term: np.ndarray, max_t
     return suffix[first], counts, docs
 
 
+#: Rows of suffixes that a task holds before it merges equal ones, and before it sends the rarer half of them.
+MERGE_ROWS, HELD_ROWS = 1 << 20, 1 << 21
+
+
 def _suffix_rows(columns: int, max_terms: int):
-    """Map side: (record, text columns...) -> (suffix, route, n, d1..dk)."""
+    """Map side: (record, text columns...) -> (suffix, n, d1..dk), equal suffixes of a task merged."""
     import pyarrow as pa
 
-    names = ["suffix", "route", "n", *(f"d{k}" for k in range(1, max_terms + 1))]
+    names = ["suffix", "n", *(f"d{k}" for k in range(1, max_terms + 1))]
+
+    def block(ks, ts):
+        text, term, words = terms_of(ts)
+        suffix, n, docs = block_suffixes(np.asarray(ks)[text], text, term, max_terms)
+        col = np.array([*words, ""], object)
+        parts = [col[suffix[:, j]].tolist() for j in range(max_terms)]
+        full = parts[0] if max_terms == 1 else [SEP.join(p).rstrip(SEP) for p in zip(*parts)]
+        return pa.Table.from_arrays([pa.array(full, pa.string()), pa.array(n, pa.int64()), *(pa.array(docs[:, k], pa.int64()) for k in range(max_terms))], names=names)
 
     def run(batches):
+        held = _Merged(names)
         for b in batches:
             rows = enumerate(zip(*(cpk.values(b.column(1 + c)) for c in range(columns))))
             for ks, ts in _even_blocks(rows):
-                text, term, words = terms_of(ts)
-                suffix, n, docs = block_suffixes(np.asarray(ks)[text], text, term, max_terms)
-                col = np.array([*words, ""], object)
-                if max_terms == 1:
-                    full = route = col[suffix[:, 0]].tolist() if len(suffix) else []
-                else:
-                    parts = [col[suffix[:, j]].tolist() for j in range(max_terms)]
-                    full = [SEP.join(p).rstrip(SEP) for p in zip(*parts)]
-                    route = [SEP.join(p) for p in zip(*parts[:2])]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.string()), pa.array(route, pa.string()), pa.array(n, pa.int64()), *(pa.array(docs[:, k], pa.int64()) for k in range(max_terms))], names=names)
+                yield from held.add(block(ks, ts))
+        yield from held.rest()
 
     return run
 
 
+class _Merged:
+    """Suffixes of a task, equal ones merged. Where there are too many, the rarer half is sent on."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.tables, self.rows, self.merged = names, [], 0, 0
+
+    def add(self, table):
+        self.tables.append(table)
+        self.rows += table.num_rows
+        if self.rows - self.merged > MERGE_ROWS:
+            self._merge()
+            if self.rows > HELD_ROWS:
+                import pyarrow.compute as pc
+
+                whole = self.tables[0]
+                rare = pc.less_equal(whole.column("n"), pc.quantile(whole.column("n"), 0.5, interpolation="lower")[0])
+                yield from whole.filter(rare).to_batches(65_536)
+                self._keep(whole.filter(pc.invert(rare)))
+
+    def _merge(self) -> None:
+        import pyarrow as pa
+
+        if self.tables:
+            whole = pa.concat_tables(self.tables).group_by("suffix").aggregate([(c, "sum") for c in self.names[1:]])
+            self._keep(pa.Table.from_arrays([whole.column("suffix"), *(whole.column(f"{c}_sum") for c in self.names[1:])], names=self.names))
+
+    def _keep(self, table) -> None:
+        self.tables, self.rows, self.merged = [table], table.num_rows, table.num_rows
+
+    def rest(self):
+        self._merge()
+        for t in self.tables:
+            yield from t.combine_chunks().to_batches(65_536)
+
+
 def _even_blocks(rows):
     """Blocks of texts that never part the columns of a record (whose terms are counted together)."""
     ks: list = []
@@ -118,55 +158,65 @@ def _even_blocks(rows):
 
 
 def _stack(max_terms: int):
-    """Reduce side: one pass over suffixes in reverse lexicographic order with a stack of open prefixes."""
+    """Reduce side: one pass over suffixes in reverse lexicographic order with a stack of open prefixes.
+
+    Equal prefixes stand together, so within a batch the counts of each prefix length are sums over runs; the
+    last run of each length stays open on the stack until a batch begins with another prefix.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def columns(suffix) -> list:
+        """The terms of each suffix by place, null past its end."""
+        split = pc.split_pattern(suffix, SEP)
+        start, size = split.offsets.to_numpy()[:-1], pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        return [split.values.take(pa.array(start + k, mask=size <= k)) for k in range(max_terms)]
 
     def run(batches):
-        path: list[str] = []  # the open prefix, a term a level
-        total: list[int] = []
-        records: list[int] = []
-        out: tuple[list, list, list, list] = ([], [], [], [])
-
-        def close(depth: int) -> None:
-            while len(path) > depth:
-                out[0].append(SEP.join(path))
-                out[1].append(len(path))
-                out[2].append(total[-1])
-                out[3].append(records.pop())
-                path.pop()
-                n = total.pop()
-                if total:
-                    total[-1] += n
-
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "n_terms", "n_total", "n_reports"])
-            for c in out:
-                c.clear()
-            return batch
+        stack: list[list | None] = [None] * max_terms  # of each length: the open prefix, its count, its records
+
+        def batch(closed: list[tuple]):
+            cols = [*zip(*closed)] or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
         for b in batches:
-            counts = b.column(1).to_pylist()
-            docs = list(zip(*(b.column(2 + k).to_pylist() for k in range(max_terms))))
-            for suffix, n, d in zip(b.column(0).to_pylist(), counts, docs):
-                terms = suffix.split(SEP)
-                same = 0
-                while same < len(path) and same < len(terms) and path[same] == terms[same]:
-                    same += 1
-                close(same)
-                for t in terms[same:]:
-                    path.append(t)
-                    total.append(0)
-                    records.append(0)
-                total[-1] += n
-                for k in range(len(terms)):
-                    records[k] += d[k]
-            yield flush()
-        close(0)
-        yield flush()
+            if not b.num_rows:
+                continue
+            terms = columns(b.column(0))
+            n = b.column(1).to_numpy(zero_copy_only=False)
+            fresh = np.zeros(b.num_rows, bool)
+            fresh[0] = True
+            prefix = None
+            closed: list[tuple] = []
+            for k in range(max_terms):
+                t = terms[k]
+                prefix = t if k == 0 else pc.binary_join_element_wise(prefix, t, SEP)  # null past the end
+                fresh[1:] |= pc.fill_null(pc.not_equal(t[1:], t[:-1]), True).to_numpy(zero_copy_only=False)
+                first = np.flatnonzero(fresh)
+                total, records = np.add.reduceat(n, first), np.add.reduceat(b.column(2 + k).to_numpy(zero_copy_only=False), first)
+                heads = prefix.take(pa.array(first))
+                there = heads.is_valid().to_numpy(zero_copy_only=False)
+                opened = stack[k]
+                if opened is not None and there[0] and heads[0].as_py() == opened[0]:
+                    total[0] += opened[1]
+                    records[0] += opened[2]
+                elif opened is not None:
+                    closed.append((opened[0], k + 1, opened[1], opened[2]))
+                stack[k] = [heads[-1].as_py(), int(total[-1]), int(records[-1])] if there[-1] else None
+                done = np.flatnonzero(there[:-1])
+                at = pa.array(done)
+                yield pa.RecordBatch.from_arrays([heads.take(at), pa.array(np.full(len(done), k + 1, np.int32)), pa.array(total[done]), pa.array(records[done])], names=names)
+            yield batch(closed)
+        yield batch([(o[0], k + 1, o[1], o[2]) for k, o in enumerate(stack) if o is not None])
 
+    names, kinds = ["term", "n_terms", "n_total", "n_reports"], (pa.string(), pa.int32(), pa.int64(), pa.int64())
     return run
 
 
+#: Suffixes of one first term, as sent by the tasks, from which it is routed by two terms.
+HEAVY_SUFFIXES = 100_000
+
+
 def term_counts(reports: DataFrame, columns: tuple[str, ...] = ("title", "body"), max_terms: int = 1) -> DataFrame:
     """(term, n_terms, n_total, n_reports) of every n-gram of up to ``max_terms`` terms.
 
@@ -176,14 +226,26 @@ def term_counts(reports: DataFrame, columns: tuple[str, ...] = ("title", "body")
     """
     spark = reports.sparkSession
     sent = ", ".join(f"d{k} long" for k in range(1, max_terms + 1))
-    rows = map_arrow(spread(reports.select(F.lit(0), *columns)), _suffix_rows(len(columns), max_terms), f"suffix string, route string, n long, {sent}")
+    rows = map_arrow(spread(reports.select(F.lit(0), *columns)), _suffix_rows(len(columns), max_terms), f"suffix string, n long, {sent}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = rows.repartition(parts, "route").sortWithinPartitions(F.col("suffix").desc()).drop("route")
+    route = F.substring_index("suffix", SEP, 1)
+    heavy = None
+    if max_terms > 1:
+        rows = cut(rows)
+        firsts = rows.groupBy(route.alias("first")).agg(F.count("*").alias("k"))
+        total = rows.count()
+        # no more than a few a partition can be heavy, so the list is small whatever the collection
+        heavy = [r[0] for r in firsts.where(F.col("k") > max(HEAVY_SUFFIXES, total // (4 * parts))).select("first").collect()]
+        if heavy:
+            route = F.when(route.isin(heavy), F.substring_index("suffix", SEP, 2)).otherwise(route)
+    routed = rows.withColumn("route", route).repartition(parts, "route").sortWithinPartitions(F.col("suffix").desc()).drop("route")
     counted = map_arrow(routed, _stack(max_terms), "term string, n_terms int, n_total long, n_reports long")
-    if max_terms == 1:
+    if not heavy:
         return counted
-    single = counted.where("n_terms = 1").groupBy("term", "n_terms").agg(F.sum("n_total").alias("n_total"), F.sum("n_reports").alias("n_reports"))
-    return counted.where("n_terms > 1").unionAll(single)
+    counted = cut(counted)
+    split = (F.col("n_terms") == 1) & F.col("term").isin(heavy)
+    single = counted.where(split).groupBy("term", "n_terms").agg(F.sum("n_total").alias("n_total"), F.sum("n_reports").alias("n_reports"))
+    return counted.where(~split).unionAll(single)
 
 
 def marked(counts: DataFrame, n_reports: int, common: float = 0.15, rare_reports: int = 2, rare_total: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import regex
 from pyspark.sql import functions as F
 
-from gleaner.functions import codepoints
+from gleaner.llm import codepoints
 from gleaner.llm import termcounts
 
 ROWS = [
@@ -37,6 +37,45 @@ def test_against_brute_force(spark, prose, monkeypatch):
         assert got == brute(rows, most)
 
 
+def test_heavy_first_terms_are_split(spark, prose, monkeypatch):
+    rows = ROWS + [(100 + i, None if i % 5 else "The field", prose(i, 3), 0) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(termcounts, "HEAVY_SUFFIXES", 12)
+    for most in (2, 3):
+        got = [(r.term, (r.n_total, r.n_reports)) for r in termcounts.term_counts(df.repartition(5), max_terms=most).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == brute(rows, most)
+
+
+def test_a_task_sends_a_suffix_once(prose, monkeypatch):
+    import pyarrow as pa
+
+    texts = [prose(i, 6) for i in range(80)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts)), pa.array(texts)], names=["r", "t"])
+    monkeypatch.setattr(codepoints, "BLOCK_CHARS", 500)
+    sent = lambda: [r for out in termcounts._suffix_rows(1, 2)([batch, batch]) for r in out.to_pylist()]
+    rows = sent()
+    assert len(rows) == len({r["suffix"] for r in rows})
+    monkeypatch.setattr(termcounts, "MERGE_ROWS", 200)
+    monkeypatch.setattr(termcounts, "HELD_ROWS", 300)
+    again = sent()
+    assert len(again) > len(rows)
+    add = lambda rows: {k: tuple(sum(r[c] for r in rows if r["suffix"] == k) for c in ("n", "d1", "d2")) for k in {r["suffix"] for r in rows}}
+    assert add(again) == add(rows)
+
+
+def test_batches_that_part_a_prefix():
+    """The stack carries open prefixes of every length over the end of a batch."""
+    import pyarrow as pa
+
+    rows = [("c", 2, 1, 0), ("b b", 1, 1, 1), ("b a", 3, 2, 2), ("b", 1, 1, 0), ("a b", 5, 4, 4), ("a", 1, 0, 0)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["suffix", "n", "d1", "d2"])
+    want = sorted(tuple(r.values()) for out in termcounts._stack(2)([whole]) for r in out.to_pylist())
+    assert want == [("a", 1, 6, 4), ("a b", 2, 5, 4), ("b", 1, 5, 4), ("b a", 2, 3, 2), ("b b", 2, 1, 1), ("c", 1, 2, 1)]
+    for step in (1, 2, 4):
+        parts = [whole.slice(i, step) for i in range(0, 6, step)]
+        assert sorted(tuple(r.values()) for out in termcounts._stack(2)(parts) for r in out.to_pylist()) == want
+
+
 def test_small_blocks_give_the_same(monkeypatch):
     """The stack over several blocks of the map side equals one block."""
     import pyarrow as pa
