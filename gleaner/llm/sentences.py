@@ -19,31 +19,42 @@ into which the counts of the whole collection put them.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import codepoints as cpk
+from gleaner.llm import codepoints as cpk
 from gleaner.runtime import cut, map_arrow, spread
 from gleaner.sources.tables import distinct_by
 
-#: Closing marks of the scripts covered, opening marks, and pairs of quotation marks.
-TERMINATORS = ".!?…。！？।॥"
+#: Closing marks: the characters with the Unicode property Sentence_Terminal, and the dots of omission.
+TERMINATORS = frozenset(c for c in map(chr, range(0x20000)) if regex.match(r"\p{Sentence_Terminal}", c)) | {"…"}
+#: Opening marks, and pairs of quotation marks.
 OPENERS = "„«「『“‘¿¡([<（【-–—\"*•"
 PAIRS = {"„": "“", "«": "»", "「": "」", "『": "』", "“": "”"}
-#: Characters looked at to the left of a mark (a longer token is no abbreviation).
-CONTEXT = 40
-_MARK = re.compile(r"[.!?…。！？।॥]+|''|[\"“”„«»「」『』]|(?<=[^\s\x00-\x7f])[ \t]*\n?[ \t]*(?<=[ \t\n])(?=[^\s])|(?<=\S)[ \t\n]+(?=[฀-๿])")
+#: Characters from which a context is kept as a digest, which tells it apart as well.
+DIGEST = 40
+#: One mark; those beyond the first plane stand apart, as a class that reaches there is slow to test.
+_CLOSING = "(?:[" + re.escape("".join(sorted(c for c in TERMINATORS if c <= "\uffff"))) + "]|(?=[\U00010000-\U0010ffff])[" + "".join(sorted(c for c in TERMINATORS if c > "\uffff")) + "])"
+_MARK = re.compile(_CLOSING + r"+|''|[\"“”„«»「」『』]|(?<=[^\s\x00-\x7f])[ \t]*\n?[ \t]*(?<=[ \t\n])(?=[^\s])|(?<=\S)[ \t\n]+(?=[฀-๿])")
 _PARAGRAPH = re.compile(r"\n[ \t\r　 ]*\n\s*")
 _WORD = re.compile(r"\w+")
 _FIGURE = re.compile(r"[\w%$)][ \t]{2,}\S|\t|\|")  # wide blanks, but not behind a closing mark
 _RUN_ON = re.compile(r"(?<=\w\w)[.!?](?=\w\w)(?![a-z])|[!?]")
+_STRIPPED = re.compile(_CLOSING + "+")
 _THAI = re.compile(r"[฀-๿]")
 #: Class of the contexts that are rare in the sample and, in the whole collection, never at a boundary.
 NEVER = "never|"
 _TOKEN_START = re.compile(r"[\s(\[“„«「『\"‘（]")
+_BLANKS = re.compile(r"\s*")
+_DIGIT = re.compile(r"[\d" + "".join(c for c in map(chr, range(0x20000)) if c.isdigit() and not c.isdecimal()) + "]")
+_NO_FIGURE = re.compile(r"[^\d.,\-$%]")
 
 
 @dataclass
@@ -54,6 +65,7 @@ class BoundaryModel:
     right: set = field(default_factory=set)
     weights: dict = field(default_factory=dict)
     near: dict = field(default_factory=dict)  # misspellings of long abbreviations that never end a unit
+    longest: int = 0  # characters of the longest of them
     never_left: set = field(default_factory=set)  # rare in the sample, but never ends a unit in the collection
     never_right: set = field(default_factory=set)  # rare in the sample, but never opens a unit in the collection
 
@@ -80,7 +92,7 @@ def figure_lines(text: str, start: int, end: int) -> list[tuple[int, int]] | Non
     A block has at least two lines, most of them set in columns, and figures in most lines.
     """
     piece = text[start:end]
-    if "\n" not in piece or not any(c.isdigit() for c in piece):
+    if "\n" not in piece or not _DIGIT.search(piece):
         return None
     lines, at = [], start
     for line in piece.split("\n"):
@@ -89,7 +101,7 @@ def figure_lines(text: str, start: int, end: int) -> list[tuple[int, int]] | Non
             lines.append((s, e))
         at += len(line) + 1
     columns = sum(1 for s, e in lines if _FIGURE.search(text, s, e) and text[e - 1] not in TERMINATORS)
-    figures = sum(1 for s, e in lines if any(c.isdigit() for c in text[s:e]))
+    figures = sum(1 for s, e in lines if _DIGIT.search(text, s, e))
     return lines if len(lines) > 1 and min(columns, figures) * 5 >= len(lines) * 4 else None
 
 
@@ -110,6 +122,22 @@ def _script(c: str) -> str:
     return "th" if "฀" <= c <= "๿" else "latin" if c.isascii() and c.isalnum() or c.isalpha() and c < "Ͱ" else "other"
 
 
+@lru_cache(maxsize=4096)
+def _kind(mark: str) -> str:
+    """Dots of omission, dots, marks of East Asian width, questions and exclamations, or full stops of other scripts."""
+    c = mark[0]
+    if mark.startswith("..") or c == "…":
+        return "ell"
+    if c == ".":
+        return "dot"
+    if c in "!?":
+        return "qe"
+    if unicodedata.east_asian_width(c) in "WFH":
+        return "cjk"
+    name = unicodedata.name(c, "")
+    return "qe" if "QUESTION" in name or "EXCLAMATION" in name or "INTERROBANG" in name else "dan"
+
+
 def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int, str]]:
     """(end, kind, left context, right word, class of what follows, open quotations, space) of a paragraph."""
     stack: list[tuple[str, str]] = []
@@ -131,13 +159,17 @@ def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int,
             if closing:
                 _, lead = stack.pop()
                 last = out[-1] if out else None
-                if last and last[2] != " " and m.start() - last[1] < CONTEXT and not par[last[1] : m.start()].strip() and last[3] > len(stack):
+                if last and last[2] != " " and last[3] > len(stack) and _BLANKS.match(par, last[1]).end() >= m.start():
                     last[1], last[3], last[4], last[5] = m.end(), len(stack), "q", lead
             else:
-                before = par[max(0, m.start() - CONTEXT) : m.start()].rstrip()[-1:]
+                k = m.start()
+                while k and par[k - 1].isspace():
+                    k -= 1
+                before = par[k - 1 : k]
                 lead = "start" if not before or before in TERMINATORS or before in "”»」』\"“" else "colon" if before in ":：" else "comma" if before in ",，、" else "other"
                 stack.append((s, lead))
     found = []
+    lefts = _Lefts(par)
     for start, end, mark, depth, closed, lead in out:
         while end < len(par) and par[end] in ")]）" and mark != " ":
             end += 1
@@ -153,30 +185,71 @@ def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int,
             a, b = par[start - 1], par[at]
             found.append((end, "blank", "blank|" + _script(a), "blank|" + _script(b), "let", depth, "s"))
             continue
-        kind = "ell" if mark.startswith("..") or mark[0] == "…" else "dot" if mark[0] == "." else "cjk" if mark[0] in "。！？" else "dan" if mark[0] in "।॥" else "qe"
+        kind = _kind(mark)
         if kind == "dot":
-            k, furthest = start, max(0, start - CONTEXT)
-            while k > furthest and not _TOKEN_START.match(par, k - 1):
-                k -= 1
-            token = _RUN_ON.split(par[k:start])[-1]  # a missing blank makes no difference
-            if token[-1:].isupper() and not token[-2:-1].isalnum():
-                left = "INIT"
-            elif token and all(x.isdigit() or x in ".,-$%" for x in token) and token[-1].isdigit():
-                left = "NUM|" + "".join(par[max(0, k - CONTEXT) : k].split()[-1:])
-            else:
-                left = token
+            left = lefts.of(start)
         else:
             left = kind
         found.append((end, kind, f"{left}{closed}{lead}", _word(par, at, nxt), nxt, depth, "n" if at == end else "s"))
     return found
 
 
+class _Lefts:
+    """What stands to the left of the dots of a paragraph, asked for from left to right; each character is looked at once."""
+
+    def __init__(self, par: str):
+        self.par, self.at, self.token, self.seen, self.odd = par, 0, 0, 0, -1
+        self.breaks = [m.end() for m in _RUN_ON.finditer(par)]
+        self.passed, self.sums, self.before = 0, None, (-1, "")
+
+    def of(self, start: int) -> str:
+        """The token that ends at ``start``: INIT for an initial, NUM and the word before for a number, else the token."""
+        par = self.par
+        for m in _TOKEN_START.finditer(par, self.at, start):
+            self.token = m.end()
+        self.at = max(self.at, start)
+        while self.passed < len(self.breaks) and self.breaks[self.passed] <= start:
+            self.passed += 1
+        k = max(self.token, self.breaks[self.passed - 1] if self.passed else 0)  # a missing blank makes no difference
+        if k < start and par[start - 1].isupper() and not (start - 1 > k and par[start - 2].isalnum()):
+            return "INIT"
+        if k < start and par[start - 1].isdigit():
+            for m in _NO_FIGURE.finditer(par, max(self.seen, k), start):
+                self.odd = m.start()
+            self.seen = start
+            if self.odd < k:
+                return "NUM|" + self._word_before(k)
+        return self._digest(k, start)
+
+    def _word_before(self, k: int) -> str:
+        if self.before[0] != k:
+            end = k
+            while end and self.par[end - 1].isspace():
+                end -= 1
+            begin = end
+            while begin and not self.par[begin - 1].isspace():
+                begin -= 1
+            self.before = k, self._digest(begin, end)
+        return self.before[1]
+
+    def _digest(self, a: int, b: int) -> str:
+        """The text, or a hash of a long one (from running sums, so that its length does not matter)."""
+        if b - a <= DIGEST:
+            return self.par[a:b]
+        if self.sums is None:
+            self.sums = cpk.SpanHashes(cpk.codes(self.par))
+        return f"{self.par[a : a + 8]}#{self.sums.of(a, b):016x}"
+
+
 def _word(par: str, at: int, nxt: str) -> str:
     """What stands at a place: a word, a single character of a script without blanks, a mark, or any number."""
     if nxt == "dig":
         return "<dig"
     w = _WORD.match(par, at)
-    return (par[at] if nxt == "let" and par[at] > "⹿" else w.group()[:24]) if w else par[at]
+    if not w or (nxt == "let" and par[at] > "⹿"):
+        return par[at]
+    word = w.group()
+    return word if len(word) <= DIGEST else f"{word[:8]}#{xxhash.xxh3_64_hexdigest(word)}"
 
 
 def _left_key(left: str, model: BoundaryModel) -> str:
@@ -184,7 +257,7 @@ def _left_key(left: str, model: BoundaryModel) -> str:
         return left
     if left in model.never_left:
         return NEVER
-    if model.near and 4 <= len(left) <= 12 and left.isalpha():
+    if model.near and 4 <= len(left) <= model.longest and left.isalpha():
         meant = model.near.get(left) or model.near.get("~" + "".join(sorted(left)))
         if meant:
             return meant if meant in model.left else NEVER
@@ -266,6 +339,12 @@ def split_text(text: str | None, model: BoundaryModel) -> list[tuple[int, int]]:
     return out
 
 
+def _opening(text: str, start: int, end: int) -> str:
+    """The first word of a paragraph and the character behind it, or its first two characters."""
+    w = _WORD.match(text, start)
+    return text[start : min(end, w.end() + 1 if w else start + 2)]
+
+
 def _marks(text: str | None) -> tuple[list[list[tuple[tuple, bool | None]]], list[str], list[tuple[str, str]]]:
     """Candidates by paragraph (True: a hidden paragraph break), what stands before the end of the text, its first word."""
     chains: list[list[tuple[tuple, bool | None]]] = []
@@ -275,8 +354,10 @@ def _marks(text: str | None) -> tuple[list[list[tuple[tuple, bool | None]]], lis
     for (s, e), following in zip(pars, [*pars[1:], None]):
         par = text[s:e]
         thai = bool(_THAI.search(par))
-        found = candidates(par + " " + (text[following[0] : following[0] + 40] if following else "Z"), thai)
-        cands = [(c, None) for c in found if c[0] < len(par)]  # what follows changes nothing before the end
+        if thai:  # a script without closing marks is learned from text that has none
+            par = _STRIPPED.sub(" ", par).strip() or par
+        found = candidates(par + " " + (_opening(text, *following) if following else "Z"), thai)
+        cands = [(c, None) for c in found if c[0] < len(par)]  # the next paragraph changes nothing before the end
         if following:  # the paragraph break, hidden
             hidden = [c for c in found if c[0] >= len(par) - (0 if thai else 2) and c[0] <= len(par)]
             cands.extend((c, True) for c in hidden[-1:])
@@ -356,6 +437,7 @@ def train(texts: list[str], frequent: int = 20, epochs: int = 4, counted: list[t
         if word.isalpha() and len(word) >= 5 and lefts[word][0] * 1000 <= sum(lefts[word]) and word not in ("INIT",):
             model.near["~" + "".join(sorted(word))] = word  # letters swapped
             model.near.update((word[:i] + word[i + 1 :], word) for i in range(len(word)))  # a letter lost
+    model.longest = max((len(w) - w.startswith("~") for w in model.near), default=0)
     data = []
     turn: Counter = Counter()
     for chains, _, _ in marks:

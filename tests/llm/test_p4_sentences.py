@@ -96,6 +96,42 @@ def test_long_and_odd_texts(model):
         assert all(0 <= s < e <= len(odd) for s, e in units)
 
 
+def test_marks_of_other_scripts(model):
+    """Closing marks come from a Unicode property, doubled ones too; none of these scripts was in the training texts."""
+    arabic = "هل توافق المحكمة؟ نعم توافق."
+    assert [arabic[s:e] for s, e in sentences.split_text(arabic, model)] == ["هل توافق المحكمة؟", "نعم توافق."]
+    armenian = "Գինը բարձրացավ։ Դատարանը որոշեց։"
+    assert len(sentences.split_text(armenian, model)) == 2
+    urdu = "قیمت بڑھ گئی۔ عدالت نے فیصلہ کیا۔"
+    assert len(sentences.split_text(urdu, model)) == 2
+    assert len(sentences.split_text("価格は上がった｡林氏は述べた｡", model)) == 2
+    for mark in ("‼", "⁇", "⁈", "?!", "!!!"):
+        assert len(sentences.split_text(f"Will the court rule{mark} It was sold to Brook Inc.", model)) == 2, mark
+
+
+def test_contexts_of_any_length(model):
+    """Long tokens have contexts of their own; a long run of marks takes linear time."""
+    a, b = "x" * 59 + "a", "x" * 59 + "b"
+    left = [c[2] for c in sentences.candidates(f"{a}. Next {b}. Next {a}. Next", False)]
+    assert left[0] == left[2] != left[1] and len(left[0]) < 40
+    right = [c[3] for c in sentences.candidates(f"One. {a} two. {b} three. {a} four", False)]
+    assert right[0] == right[2] != right[1] and len(right[0]) < 40
+    for hard in ("a." * 200_000, "1.1-" * 100_000 + " 1. X", "ab.cd" * 80_000, ("z" * 200_000 + ".") * 3, "「" * 100_000 + "。" + " " * 100_000 + "」"):
+        assert sentences.split_text(hard, model)[-1][1] <= len(hard)
+
+
+def test_unpunctuated_text_is_learned_without_marks():
+    """Thai with marks and the same without give one model: what is learned needs no mark."""
+    r = random.Random(4)
+    texts = [make(r, "th")[0] for _ in range(200)]
+    marked = [t.replace("แล้ว ", "แล้ว! ").replace("ฝนตก\n", "ฝนตก.\n") for t in texts]
+    assert sum(a != b for a, b in zip(texts, marked)) > 50
+    models = [sentences.train(x) for x in (texts, marked)]
+    assert models[0].weights == models[1].weights
+    text = "ราคาน้ำมันเพิ่มขึ้นแล้ว เมื่อวานนี้ฝนตก นาย Somchai กล่าวว่า 58 บริษัทปิด"
+    assert [text[s:e] for s, e in sentences.split_text(text, models[1])] == text.replace("ฝนตก ", "ฝนตก|").replace("แล้ว ", "แล้ว|").split("|")
+
+
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"Text {i}.") for i in range(500)], "newid long, body string")
     assert 0 < len(sentences.sample_texts(df, "newid", "body", 50)) <= 50
