@@ -1,7 +1,8 @@
 """Subject areas of documents, from the share of their sentences that deal with each subject.
 
 A document is read as its sentences, each a bag of words and word pairs (of character pairs and
-triples in scripts without spaces), hashed into a table of fixed size. Training has three steps:
+triples in scripts without spaces), hashed into a table whose size follows the collection (``slot_bits``).
+One labelled document in ``HELD`` is held out: its label takes no part in steps 1 and 2. Training has three steps:
 
 1. Complement naive Bayes from documents labelled as a whole: the weight of a feature for a subject
    is its log frequency in documents of the subject against its log frequency in all others.
@@ -9,20 +10,21 @@ triples in scripts without spaces), hashed into a table of fixed size. Training
 2. Expectation-maximization over all documents, labelled or not: sentences take posteriors over the
    subjects and *none*, under a mixture of their own document that starts from its label or codes;
    counts of features weighted by these posteriors give the next complement model.
-3. Calibration: on a bounded sample of labelled documents, Platt scaling turns each subject's
+3. Calibration: on a bounded sample of the labels held out, Platt scaling turns each subject's
    evidence into independent posteriors, by which sentences are decided one subject at a time; a second
    one turns a document's share of such sentences into its posterior.
 
-The expectation steps are single passes over a compact table of features; what they send is the
-fixed-size table of counts, added up in slices before the driver sees it.
+The expectation steps are single passes over a compact table of features. A task sends the counts of
+the features that it saw, added up in slices before the driver sees them.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import codepoints as cpk
@@ -32,7 +34,10 @@ from gleaner.runtime import cut, map_arrow, spread
 
 SUBJECTS = ("science", "law", "sport", "software", "energy", "health", "finance", "farming")
 NONE = len(SUBJECTS)
-BITS = 18
+#: Powers of two between which the number of slots lies, and the slots for each feature expected in a collection.
+BITS, MOST_BITS, SLOTS_EACH = 18, 21, 4
+#: One labelled document in so many is kept for the calibration.
+HELD = 5
 _SLICES = 32
 #: Evidence (natural log) that a sentence must carry to leave *none* in the first pass.
 FIRST_BAR = 4.0
@@ -83,7 +88,18 @@ def unit_features(texts: list[str], units: list[list[tuple[int, int]]]) -> tuple
             owner.append(np.repeat(wu, count))
     f, o = np.concatenate(feats), np.concatenate(owner)
     order = np.argsort(o, kind="stable")
-    return (f[order] >> np.uint64(64 - BITS)).astype(np.int32), o[order], doc
+    return (f[order] >> np.uint64(32)).astype(np.uint32), o[order], doc
+
+
+def _held_out() -> Column:
+    """Whether a report's label is kept for the calibration (by a hash of the key, so for good)."""
+    return F.pmod(F.xxhash64("newid"), F.lit(HELD)) == 0
+
+
+def slot_bits(occurrences: int) -> int:
+    """Bits of the table: room for the distinct features that a collection of so many occurrences is expected to
+    have, which grow as the power 0.7 (Heaps), within the bounds above."""
+    return min(MOST_BITS, max(BITS, math.ceil(math.log2(SLOTS_EACH * max(occurrences, 1) ** 0.7))))
 
 
 def _unspaced(c: np.ndarray) -> np.ndarray:
@@ -92,7 +108,7 @@ def _unspaced(c: np.ndarray) -> np.ndarray:
 
 
 def featured(reports: DataFrame, boundaries: sent.BoundaryModel) -> DataFrame:
-    """(newid, label, hint, n_units, units, feats): one row a report, features as packed arrays."""
+    """(newid, label, hint, n_units, units, feats, n_feats): one row a report, features as packed arrays of 32-bit hashes."""
     import pyarrow as pa
 
     def run(batches):
@@ -106,11 +122,11 @@ def featured(reports: DataFrame, boundaries: sent.BoundaryModel) -> DataFrame:
                 cuts = np.searchsorted(unit, first)
                 packed = [((unit[a:z] - k).astype(np.int32).tobytes(), f[a:z].tobytes()) for a, z, k in zip(cuts[:-1], cuts[1:], first)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[r] for r in rows], pa.int64()), pa.array([label[r] for r in rows], pa.int32()), pa.array([hint[r] for r in rows], pa.int32()), pa.array(n, pa.int32()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())],
-                    names=["newid", "label", "hint", "n_units", "units", "feats"],
+                    [pa.array([ids[r] for r in rows], pa.int64()), pa.array([label[r] for r in rows], pa.int32()), pa.array([hint[r] for r in rows], pa.int32()), pa.array(n, pa.int32()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()), pa.array(np.diff(cuts), pa.int64())],
+                    names=["newid", "label", "hint", "n_units", "units", "feats", "n_feats"],
                 )
 
-    return map_arrow(spread(reports.select("newid", "label", "hint", "body")), run, "newid long, label int, hint int, n_units int, units binary, feats binary")
+    return map_arrow(spread(reports.select("newid", "label", "hint", "body")), run, "newid long, label int, hint int, n_units int, units binary, feats binary, n_feats long")
 
 
 #: Features of the reports that a pass holds at a time.
@@ -130,15 +146,15 @@ def _pieces(batch):
         start = end
 
 
-def _load(batch) -> tuple[np.ndarray, ...]:
+def _load(batch, bits: int) -> tuple[np.ndarray, ...]:
     """Labels, hints, units a document, document of each unit, unit of each feature, features."""
     label, hint = (np.array(batch.column(i).to_pylist(), np.int64) for i in (1, 2))
     n = np.array(batch.column(3).to_pylist(), np.int64)
     parts = [np.frombuffer(x, np.int32) for x in batch.column(4).to_pylist()]
     first = np.cumsum(n) - n
     unit = np.concatenate([p + k for p, k in zip(parts, first)]) if parts else np.zeros(0, np.int64)
-    feats = np.concatenate([np.frombuffer(x, np.int32) for x in batch.column(5).to_pylist()]) if parts else np.zeros(0, np.int32)
-    return label, hint, n, np.repeat(np.arange(len(n)), n), unit.astype(np.int64), feats
+    feats = np.concatenate([np.frombuffer(x, np.uint32) for x in batch.column(5).to_pylist()]) if parts else np.zeros(0, np.uint32)
+    return label, hint, n, np.repeat(np.arange(len(n)), n), unit.astype(np.int64), (feats & np.uint32((1 << bits) - 1)).astype(np.int64)
 
 
 def _evidence(weights: np.ndarray, feats: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
@@ -179,51 +195,67 @@ def _with_none(mix: np.ndarray) -> np.ndarray:
     return mix
 
 
-def complement(counts: np.ndarray, strength: float = 4.0, min_count: float = 8.0) -> np.ndarray:
+def complement(counts: np.ndarray, strength: float = 4.0, min_count: float = 8.0, step: int = 1 << 17) -> np.ndarray:
     """Log odds of each feature in a class against all other classes, shrunk towards zero when rare."""
-    counts = counts.astype(np.float64)
-    total = counts.sum(1)
-    share = (total + 1e-9) / (total.sum() + 1e-6)
-    own = counts.sum(0)
-    rest = own.sum() - own
-    a = np.log((counts + strength * share[:, None] * 50 + 1e-3) / (own + strength * 50 + 1e-3 * len(counts)))
-    b = np.log((total[:, None] - counts + strength * share[:, None] * 50 + 1e-3) / (rest + strength * 50 + 1e-3 * len(counts)))
-    w = (a - b) * (total / (total + strength))[:, None]
-    w[total < min_count] = 0.0
-    return w.astype(np.float32)
-
-
-def _counted(rows: DataFrame, weigh) -> np.ndarray:
+    own = counts.sum(0, dtype=np.float64)
+    whole, rest = own.sum(), own.sum() - own
+    out = np.empty(counts.shape, np.float32)
+    for k in range(0, len(counts), step):
+        c = counts[k : k + step].astype(np.float64)
+        total = c.sum(1)
+        share = ((total + 1e-9) / (whole + 1e-6))[:, None] * strength * 50 + 1e-3
+        a = np.log((c + share) / (own + strength * 50 + 1e-3 * len(counts)))
+        b = np.log((total[:, None] - c + share) / (rest + strength * 50 + 1e-3 * len(counts)))
+        w = (a - b) * (total / (total + strength))[:, None]
+        w[total < min_count] = 0.0
+        out[k : k + step] = w
+    return out
+
+
+def _counted(rows: DataFrame, weigh, bits: int) -> np.ndarray:
     """Sum over all documents of ``weigh(batch) -> (feature weights (k,), features)``, as one table."""
     import pyarrow as pa
 
-    width = (1 << BITS) // _SLICES
+    size, width, classes = 1 << bits, (1 << bits) // _SLICES, NONE + 1
 
     def run(batches):
-        total = np.zeros((1 << BITS, NONE + 1), np.float32)
+        total = None
         for b in (p for batch in batches for p in _pieces(batch)):
             r, feats = weigh(b)
-            for c in range(NONE + 1):
-                total[:, c] += np.bincount(feats, r[:, c], 1 << BITS).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(_SLICES)], pa.binary())], names=["slice", "counts"])
+            if total is None:
+                total = np.zeros((size, classes), np.float32)
+            used, at = np.unique(feats, return_inverse=True)
+            total[used] += np.stack([np.bincount(at, r[:, c], len(used)) for c in range(classes)], 1).astype(np.float32)
+        if total is None:
+            return
+        used = np.flatnonzero(total.any(1))
+        cuts = np.searchsorted(used, np.arange(_SLICES + 1) * width)
+        parts = [used[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([(u % width).astype(np.int32).tobytes() for u in parts], pa.binary()), pa.array([total[u].tobytes() for u in parts], pa.binary())], names=["slice", "slots", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(c, np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
+            for i, at, c in zip(*(b.column(j).to_pylist() for j in range(3))):
+                sums.setdefault(i, np.zeros((width, classes), np.float32))[np.frombuffer(at, np.int32)] += np.frombuffer(c, np.float32).reshape(-1, classes)
+        for i, t in sums.items():
+            used = np.flatnonzero(t.any(1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([used.tobytes()], pa.binary()), pa.array([t[used].tobytes()], pa.binary())], names=["slice", "slots", "counts"])
 
-    sliced = map_arrow(rows, run, "slice int, counts binary").repartition(_SLICES, "slice")
-    parts = {r[0]: r[1] for r in map_arrow(sliced, add, "slice int, counts binary").collect()}
-    return np.frombuffer(b"".join(bytes(parts.get(i, bytes(width * 4 * (NONE + 1)))) for i in range(_SLICES)), np.float32).reshape(1 << BITS, NONE + 1)
+    kinds = "slice int, slots binary, counts binary"
+    out = np.zeros((_SLICES, width, classes), np.float32)
+    for i, at, c in map_arrow(map_arrow(rows, run, kinds).repartition(_SLICES, "slice"), add, kinds).collect():
+        out[i, np.frombuffer(at, np.int32)] = np.frombuffer(c, np.float32).reshape(-1, classes)
+    return out.reshape(size, classes)
 
 
 def train(rows: DataFrame, passes: int = 3) -> SubjectModel:
     """Complement naive Bayes, then ``passes`` of expectation-maximization over all rows of ``featured``."""
+    bits = slot_bits(rows.agg(F.sum("n_feats")).first()[0] or 0)
+    rows = rows.withColumn("label", F.when(_held_out(), 0).otherwise(F.col("label")))
 
     def by_label(batch):
-        label, hint, _, doc, unit, feats = _load(batch)
+        label, hint, _, doc, unit, feats = _load(batch, bits)
         known = label > 0
         m = np.where(known[:, None], _mask(label), _mask(hint)).astype(np.float64)
         out = np.zeros((len(label), NONE + 1))
@@ -231,7 +263,7 @@ def train(rows: DataFrame, passes: int = 3) -> SubjectModel:
         return out[doc[unit]], feats
 
     spark = rows.sparkSession
-    weights = complement(_counted(rows, by_label), min_count=3.0)
+    weights = complement(_counted(rows, by_label, bits), min_count=3.0)
     weights[:, NONE] = 0.0
     bias = np.zeros(NONE + 1)
     bias[NONE] = FIRST_BAR
@@ -240,11 +272,11 @@ def train(rows: DataFrame, passes: int = 3) -> SubjectModel:
 
         def expect(batch, held=held):
             weights, bias = held.value
-            label, hint, _, doc, unit, feats = _load(batch)
+            label, hint, _, doc, unit, feats = _load(batch, bits)
             r = _posteriors(_evidence(weights, feats, unit, len(doc)) + bias, label, hint, doc)
             return r[unit], feats
 
-        counts = _counted(rows, expect)
+        counts = _counted(rows, expect, bits)
         held.unpersist()
         weights = complement(counts)
         own = counts.sum(0, dtype=np.float64)
@@ -256,6 +288,10 @@ def train(rows: DataFrame, passes: int = 3) -> SubjectModel:
 CERTAIN = 20.0
 
 
+def _bits(model: SubjectModel) -> int:
+    return (len(model.weights) - 1).bit_length()
+
+
 def _margins(model: SubjectModel, feats: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
     """(units, subjects): evidence of a sentence for each subject, against the others and against *none*."""
     e = _evidence(model.weights, feats, unit, n) + model.bias
@@ -272,7 +308,7 @@ def unit_decisions(model: SubjectModel, feats: np.ndarray, unit: np.ndarray, n:
 
 
 def _shares(batch, model: SubjectModel) -> tuple[np.ndarray, np.ndarray]:
-    label, _, n, doc, unit, feats = _load(batch)
+    label, _, n, doc, unit, feats = _load(batch, _bits(model))
     yes = unit_decisions(model, feats, unit, len(doc))
     hit = np.zeros((len(n), NONE))
     np.add.at(hit, doc, yes)
@@ -312,7 +348,7 @@ def _platt(x: np.ndarray, y: np.ndarray, scale: float, shift: float, ridge: floa
 
 
 def calibrate_units(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000, least: float = 0.25) -> SubjectModel:
-    """Platt scaling of each subject's evidence in sentences, on at most ``fit_labels`` labelled documents.
+    """Platt scaling of each subject's evidence in sentences, on at most ``fit_labels`` labelled documents that were held out.
 
     A document deals with a subject where ``least`` of its sentences do, so its label speaks about the
     sentence that completes this share: the label is fitted over the evidence of that sentence, and
@@ -325,13 +361,13 @@ def calibrate_units(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000
 
     def run(batches):
         for b in (p for batch in batches for p in _pieces(batch)):
-            label, _, n, doc, unit, feats = _load(b)
+            label, _, n, doc, unit, feats = _load(b, _bits(held.value))
             m = _margins(held.value, feats, unit, len(doc))
             at = (np.cumsum(n) - n + np.ceil(least * n).astype(np.int64) - 1)[n > 0]
             x = np.stack([m[np.lexsort((-m[:, c], doc)), c][at] for c in range(NONE)], 1)
             yield pa.RecordBatch.from_arrays([pa.array(label[n > 0], pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
-    got = map_arrow(sent.lowest(rows.where("label > 0"), "newid", fit_labels), run, "label int, x binary").collect()
+    got = map_arrow(sent.lowest(rows.where((F.col("label") > 0) & _held_out()), "newid", fit_labels), run, "label int, x binary").collect()
     x = np.array([np.frombuffer(r.x) for r in got]).reshape(-1, NONE)
     y = _mask(np.array([r.label for r in got], np.int64))
     fits = [_platt(x[:, c], y[:, c], 1.0, 0.0, 0.1) if 0 < y[:, c].sum() < len(y) else (1.0, 0.0) for c in range(NONE)]
@@ -340,8 +376,8 @@ def calibrate_units(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000
 
 
 def calibrate(model: SubjectModel, rows: DataFrame, fit_labels: int = 4000) -> SubjectModel:
-    """Platt scaling of each subject's share on at most ``fit_labels`` labelled documents."""
-    sample = sent.lowest(rows.where("label > 0"), "newid", fit_labels)
+    """Platt scaling of each subject's share on at most ``fit_labels`` labelled documents that were held out, those without a hit among them."""
+    sample = sent.lowest(rows.where((F.col("label") > 0) & _held_out()), "newid", fit_labels)
     got = [(r.newid, r.label, r.subject, r.n_hits / r.n_units) for r in shares(sample, model).collect()]
     ids = sorted({g[:2] for g in got})
     x = np.zeros((len(ids), NONE))

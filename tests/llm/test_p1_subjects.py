@@ -124,3 +124,49 @@ def test_reports_without_a_hit_are_calibrated(spark):
     assert shifts[1] > 0 and shifts[1] > shifts[0]
     assert len(got) == 200 * subjects.NONE and min(r.posterior for r in got if r.newid >= 100 and r.subject == "law") > 0.5
     assert subjects.found(subjects.shares(rows, model)).count() == 40
+
+
+def test_posteriors_are_reliable_on_labels_held_out(trained):
+    """By subject, the mean posterior of the labels held out is near the share of those that are right."""
+    rows, model, _ = trained
+    model = subjects.calibrate(subjects.calibrate_units(model, rows), rows)
+    held = rows.where(subjects._held_out() & (rows.label > 0)).select("newid", "label").collect()
+    assert 8 <= len(held) <= 40
+    label = {r.newid: r.label for r in held}
+    got = subjects.posteriors(subjects.shares(rows, model), model).collect()
+    for subject in TOPICS:
+        mine = [(r.posterior, label[r.newid] >> subjects.SUBJECTS.index(subject) & 1) for r in got if r.subject == subject and r.newid in label]
+        assert len(mine) == len(held)
+        assert abs(sum(p for p, _ in mine) - sum(y for _, y in mine)) <= 0.1 * len(mine)
+        assert sum((p > 0.5) == bool(y) for p, y in mine) >= 0.9 * len(mine)
+
+
+def test_labels_held_out_are_not_trained_on(spark):
+    """Wrong labels of the reports held out change no weight."""
+    docs = [_document(i, ("law", "sport")[i % 2], [1 + i % 2, 7]) for i in range(200)]
+    rows = spark.createDataFrame([(*d, 2) for d in docs], FEATURED + ", n_feats long")
+    held = {r.newid for r in rows.where(subjects._held_out()).collect()}
+    wrong = [_document(i, "health", [1 + i % 2, 7]) if i in held else d for i, d in enumerate(docs)]
+    again = spark.createDataFrame([(*d, 2) for d in wrong], FEATURED + ", n_feats long")
+    assert 20 < len(held) < 60
+    assert np.allclose(subjects.train(rows, passes=2).weights, subjects.train(again, passes=2).weights)
+
+
+def test_table_grows_with_the_collection():
+    assert subjects.slot_bits(0) == subjects.slot_bits(10_000) == subjects.BITS
+    sizes = [subjects.slot_bits(10**k) for k in range(4, 13)]
+    assert sizes == sorted(sizes) and sizes[-1] == subjects.MOST_BITS and len(set(sizes)) == 3
+
+
+def test_counts_of_many_tasks_add_up(spark):
+    """Only slots that a task saw are sent; the sum is that of one task."""
+    r = np.random.default_rng(3)
+    docs = [(*_document(i, None, (r.integers(0, 1 << 31, 30)).tolist()), 30) for i in range(60)]
+    rows = spark.createDataFrame(docs, FEATURED + ", n_feats long")
+
+    def weigh(batch):
+        label, _, n, doc, unit, feats = subjects._load(batch, 18)
+        return np.tile(np.arange(1, subjects.NONE + 2, dtype=float), (len(feats), 1)), feats
+
+    one, many = (subjects._counted(x, weigh, 18) for x in (rows.coalesce(1), rows.repartition(5)))
+    assert np.array_equal(one, many) and one[:, 0].sum() == 1800 and one[:, 8].sum() == 9 * 1800
