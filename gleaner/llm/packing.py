@@ -156,3 +156,23 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     used = packed.agg(F.max("container").alias("last"), F.sum("n_tokens").alias("n_tokens"))
     n = F.coalesce(F.col("last") + 1, F.lit(0))
     return used.select(n.alias("n_containers"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.when(n > 0, F.col("n_tokens") / (n * capacity)).alias("fill"))
+
+
+def layout(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents, tokens and parts in containers, and the faults of a packing, which are all zero.
+
+    n_overlaps and n_gaps: parts that begin before or behind the end of the one before (or the start of the
+    container); n_overfull: containers beyond capacity; n_split_in_vain: documents with more parts than their
+    tokens need; n_unused: container numbers below the last that hold nothing.
+    """
+    parts = packed.where("container is not null")
+    end = F.coalesce(F.lag(F.col("place") + F.col("n_tokens")).over(W.partitionBy("container").orderBy("place", "n_tokens")), F.lit(0))
+    placed = parts.select("container", "place", "n_tokens", end.alias("end"))
+    full = placed.groupBy("container").agg(F.max(F.col("place") + F.col("n_tokens")).alias("used"), F.count_if(F.col("place") < F.col("end")).alias("o"), F.count_if(F.col("place") > F.col("end")).alias("g"), F.count("*").alias("k"), F.sum("n_tokens").alias("n"))
+    bins = full.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_parts"), F.coalesce(F.sum("o"), F.lit(0)).alias("n_overlaps"), F.coalesce(F.sum("g"), F.lit(0)).alias("n_gaps"),
+        F.count_if(F.col("used") > capacity).alias("n_overfull"), (F.coalesce(F.max("container") + 1, F.lit(0)) - F.count("*")).alias("n_unused"),
+    )
+    docs = parts.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n")).agg(F.count("*").alias("n_documents"), F.count_if(F.col("k") > F.ceil(F.col("n") / capacity)).alias("n_split_in_vain"))
+    names = ("n_documents", "n_tokens", "n_parts", "n_overlaps", "n_gaps", "n_overfull", "n_split_in_vain", "n_unused")
+    return docs.unionByName(bins, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in names))

@@ -77,6 +77,17 @@ def test_pack(spark, monkeypatch, group):
     assert (row.n_containers, row.n_tokens) == (len(bins), sum(size.values()))
 
 
+def test_layout_shows_faults(spark):
+    good = [(1, 0, 5, 0, 0), (2, 0, 3, 0, 5), (3, 0, 8, 1, 0), (3, 1, 2, 2, 0)]
+    schema = "doc_id long, part_no int, n_tokens long, container long, place long"
+    row = lambda rows: tuple(packing.layout(spark.createDataFrame(rows, schema), 8).first())
+    assert row(good) == (3, 18, 4, 0, 0, 0, 0, 0)
+    assert row([*good[:1], (2, 0, 3, 0, 4), *good[2:]])[3] == 1
+    assert row([*good[:1], (2, 0, 3, 0, 6), *good[2:]])[4:6] == (1, 1)
+    assert row([*good, (4, 0, 1, 4, 0), (4, 1, 1, 5, 0)])[6:] == (1, 1)
+    assert row([]) == (0,) * 8
+
+
 def test_empty(spark):
     df = packing.pack(spark.createDataFrame([], "doc_id long, text string"))
     assert df.collect() == []
