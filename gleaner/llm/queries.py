@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import cooccurrence, leakage, neardup, packing, quality, sentences, subjects, termcounts
+from gleaner.runtime import cut
 from gleaner.sources.tables import distinct_by, table
 
 
-def _bodies(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct reports with a non-empty body."""
-    return distinct_by(table(spark, d, "reuters").where(F.length("body") > 0), "newid", "body")
+def _bodies(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Distinct reports with a non-empty body, written once, as each is read more than once."""
+    return cut(distinct_by(table(spark, d, "reuters").where(F.length("body") > 0), "newid", "body", *columns))
 
 
 def _subjects(spark: SparkSession, d: str) -> tuple[DataFrame, subjects.SubjectModel]:
-    reports = table(spark, d, "reuters")
-    bodies = distinct_by(reports.where(F.length("body") > 0), "newid", "body", "topics")
-    rows = subjects.prepared(bodies, table(spark, d, "subject_labels"), table(spark, d, "topic_codes"), sentences.fit(reports))
+    bodies = _bodies(spark, d, "topics")
+    rows = subjects.prepared(bodies, table(spark, d, "subject_labels"), table(spark, d, "topic_codes"), sentences.fit(bodies, written=True))
     return rows, subjects.calibrate_units(subjects.train(rows), rows)
 
 
@@ -79,14 +79,13 @@ def p3_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    reports = table(spark, d, "reuters")
-    units = sentences.sentences(_bodies(spark, d), sentences.fit(reports))
-    return units.select("newid", "start_pos", "end_pos")
+    bodies = _bodies(spark, d)
+    return sentences.sentences(bodies, sentences.fit(bodies, written=True)).select("newid", "start_pos", "end_pos")
 
 
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
-    reports = table(spark, d, "reuters")
-    return sentences.sentences(_bodies(spark, d), sentences.fit(reports), with_text=True)
+    bodies = _bodies(spark, d)
+    return sentences.sentences(bodies, sentences.fit(bodies, written=True), with_text=True)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

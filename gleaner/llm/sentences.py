@@ -42,7 +42,10 @@ PAIRS = {"„": "“", "«": "»", "「": "」", "『": "』", "“": "”"}
 DIGEST = 40
 #: One mark; those beyond the first plane stand apart, as a class that reaches there is slow to test.
 _CLOSING = "(?:[" + re.escape("".join(sorted(c for c in TERMINATORS if c <= "\uffff"))) + "]|(?=[\U00010000-\U0010ffff])[" + "".join(sorted(c for c in TERMINATORS if c > "\uffff")) + "])"
-_MARK = re.compile(_CLOSING + r"+|''|[\"“”„«»「」『』]|(?<=[^\s\x00-\x7f])[ \t]*\n?[ \t]*(?<=[ \t\n])(?=[^\s])|(?<=\S)[ \t\n]+(?=[฀-๿])")
+#: Closing and quotation marks: of plain ASCII, of any script, and of Thai, where blanks count too.
+_ASCII_MARK = re.compile(r"[.!?]+|''|\"")
+_MARK = re.compile(_CLOSING + r"+|''|[\"“”„«»「」『』]")
+_THAI_MARK = re.compile(_MARK.pattern + r"|(?<=[^\s\x00-\x7f])[ \t]*\n?[ \t]*(?<=[ \t\n])(?=[^\s])|(?<=\S)[ \t\n]+(?=[฀-๿])")
 _PARAGRAPH = re.compile(r"\n[ \t\r　 ]*\n\s*")
 _WORD = re.compile(r"\w+")
 _FIGURE = re.compile(r"[\w%$)][ \t]{2,}\S|\t|\|")  # wide blanks, but not behind a closing mark
@@ -142,7 +145,7 @@ def candidates(par: str, thai: bool) -> list[tuple[int, str, str, str, str, int,
     """(end, kind, left context, right word, class of what follows, open quotations, space) of a paragraph."""
     stack: list[tuple[str, str]] = []
     out: list[list] = []
-    for m in _MARK.finditer(par):
+    for m in (_ASCII_MARK if par.isascii() else _THAI_MARK if thai else _MARK).finditer(par):
         s = m.group()
         if not s:
             continue
@@ -199,7 +202,7 @@ class _Lefts:
 
     def __init__(self, par: str):
         self.par, self.at, self.token, self.seen, self.odd = par, 0, 0, 0, -1
-        self.breaks = [m.end() for m in _RUN_ON.finditer(par)]
+        self.breaks: list[int] | None = None
         self.passed, self.sums, self.before = 0, None, (-1, "")
 
     def of(self, start: int) -> str:
@@ -207,6 +210,8 @@ class _Lefts:
         par = self.par
         for m in _TOKEN_START.finditer(par, self.at, start):
             self.token = m.end()
+        if self.breaks is None:
+            self.breaks = [m.end() for m in _RUN_ON.finditer(par)]
         self.at = max(self.at, start)
         while self.passed < len(self.breaks) and self.breaks[self.passed] <= start:
             self.passed += 1
@@ -538,9 +543,12 @@ def count_marks(reports: DataFrame, frequent: int = 20, least_share: float = 2e-
     return sorted(tuple(r) for r in rows.groupBy("side", "key").agg(F.max("kept").alias("kept"), *sums).collect())
 
 
-def fit(reports: DataFrame, fit_reports: int = 4000) -> BoundaryModel:
-    """Count contexts over all distinct ``reports(newid, body)``; fit weights on at most ``fit_reports`` of them."""
-    texts = cut(distinct_by(reports.where(F.length("body") > 0), "newid", "body"))
+def fit(reports: DataFrame, fit_reports: int = 4000, written: bool = False) -> BoundaryModel:
+    """Count contexts over all distinct ``reports(newid, body)``; fit weights on at most ``fit_reports`` of them.
+
+    ``written`` says that the reports are a written table of distinct ones, which need not be made here.
+    """
+    texts = reports.select("newid", "body") if written else cut(distinct_by(reports.where(F.length("body") > 0), "newid", "body"))
     return train(sample_texts(texts, "newid", "body", fit_reports), counted=count_marks(texts))
 
 
