@@ -109,6 +109,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "documents")))
 
 
+def p6_layout(spark: SparkSession, d: str) -> DataFrame:
+    """One row that shows whether the containers hold everything and nothing twice: all faults must be zero."""
+    return packing.layout(packing.pack(table(spark, d, "documents")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -130,8 +135,16 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(documents, model, quality.common_words(documents))
 
 
+def p8_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics alone, which SQL can repeat."""
+    measures = p8_statistics(spark, d).drop("kind")
+    for c in ("mean_word_length", "symbol_ratio", "closed_line_share", "common_word_share"):
+        measures = measures.withColumn(c, F.round(c, 6))
+    return measures
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_subjects, p1_composition, p2_found, p2_pairs, p3_found, p3_terms, p3_phrases, p4_found, p4_sentences, p5_found, p5_groups, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_subjects, p1_composition, p2_found, p2_pairs, p3_found, p3_terms, p3_phrases, p4_found, p4_sentences, p5_found, p5_groups, p6_found, p6_containers, p6_fill, p6_layout, p7_found, p7_items, p8_found, p8_statistics, p8_measures)}
 
 
 #: Fixed value: white space as str.split() has it, for RE2.
@@ -158,6 +171,25 @@ found AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g))
 """
 
 
+_TOKENS = rf"len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) + length(regexp_replace(text, '[\p{{L}}\p{{N}}]|{_BLANKS}', '', 'g'))"
+_SHINGLED = f"""t AS (SELECT newid, trim(regexp_replace(lower(coalesce(title, '') || ' ' || body), '{_BLANKS}+', ' ', 'g')) AS x FROM ({_REPORTS}) WHERE length(body) >= 100),
+k AS (SELECT newid, min(newid) OVER (PARTITION BY x) AS class_id, x FROM t),
+s AS (SELECT DISTINCT newid, unnest(list_transform(range(1, length(x) - 3), lambda i: substring(x, CAST(i AS INTEGER), 5))) AS g FROM k WHERE newid = class_id), n AS (SELECT newid, count(*) AS n FROM s GROUP BY newid),
+p AS (SELECT a.newid AS a, b.newid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.newid <> b.newid GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.newid = a JOIN n nb ON nb.newid = b WHERE 10 * c >= 7 * (na.n + nb.n - c))
+"""
+#: Fixed value: marks and quotation marks that close a line.
+_ENDS = "".join(sorted(set(quality._CLOSING + quality._QUOTES + "„«「『"))).replace("\\", "").replace("]", "\\]").replace("'", "''")
+_MEASURES = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_BLANKS}', '', 'g') <> '') AS lines, regexp_replace(text, '{_BLANKS}', '', 'g') AS black FROM d),
+u AS (SELECT doc_id, unnest(words) AS word FROM w), v AS (SELECT word FROM u GROUP BY word HAVING count(DISTINCT doc_id) >= greatest(1.0, 0.05 * (SELECT count(*) FROM w WHERE black <> ''))),
+h AS (SELECT doc_id, count(*) AS known FROM u WHERE word IN (SELECT word FROM v) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(lines) AS n_lines, round(CASE WHEN len(words) > 0 THEN list_sum(list_transform(words, lambda x: length(x))) / CAST(len(words) AS DOUBLE) END, 6) AS mean_word_length,
+round(CASE WHEN black <> '' THEN length(regexp_replace(black, '[^\p{{P}}\p{{S}}]', '', 'g')) / CAST(length(black) AS DOUBLE) END, 6) AS symbol_ratio,
+round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(regexp_replace(x, '{_BLANKS}+$', ''), '[{_ENDS}]$'))) / CAST(len(lines) AS DOUBLE) END, 6) AS closed_line_share,
+round(CASE WHEN len(words) > 0 THEN coalesce(known, 0) / CAST(len(words) AS DOUBLE) END, 6) AS common_word_share FROM w LEFT JOIN h USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what the operator does; the others are tested in tests/llm."""
     return {
@@ -175,6 +207,11 @@ SELECT term, CAST(len(string_split(term, ' ')) AS INTEGER) AS n_terms, count(*)
 s AS (SELECT DISTINCT newid, unnest(list_transform(range(1, length(x) - 3), lambda i: substring(x, CAST(i AS INTEGER), 5))) AS g FROM t), n AS (SELECT newid, count(*) AS n FROM s GROUP BY newid),
 p AS (SELECT a.newid AS newid_a, b.newid AS newid_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.newid < b.newid GROUP BY ALL)
 SELECT newid_a, newid_b FROM p JOIN n na ON na.newid = newid_a JOIN n nb ON nb.newid = newid_b WHERE 10 * c >= 7 * (na.n + nb.n - c)""",
+        "p5_groups": f"""WITH RECURSIVE {_SHINGLED}, r(node, other) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)
+SELECT k.newid, k.class_id, coalesce(g.group_id, k.class_id) AS group_id, coalesce(l.n_links, 0) AS n_links FROM k LEFT JOIN (SELECT node, min(other) AS group_id FROM r GROUP BY node) g ON g.node = k.class_id LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY a) l ON l.a = k.class_id""",
+        "p6_layout": f"""WITH t AS (SELECT doc_id, CAST({_TOKENS} AS BIGINT) AS n FROM documents WHERE text IS NOT NULL)
+SELECT count(*) FILTER (WHERE n > 0) AS n_documents, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum((n + 2047) // 2048) AS BIGINT) AS n_parts, CAST(0 AS BIGINT) AS n_overlaps, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_split_in_vain, CAST(0 AS BIGINT) AS n_unused FROM t""",
+        "p8_measures": _MEASURES,
         "p6_found": rf"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) + length(regexp_replace(text, '[\p{{L}}\p{{N}}]|{_BLANKS}', '', 'g')) > 2048",
         "p7_found": _LEAKS + "SELECT doc_id, item_id FROM found",
         "p7_items": _LEAKS + "SELECT item_id, count(doc_id) AS n_documents FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN found USING (item_id) GROUP BY item_id",
