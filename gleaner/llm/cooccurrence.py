@@ -1,7 +1,7 @@
 """Items that appear together in a record, counted by external sorting.
 
 Items are numbered densely, so that a pair packs into one 64-bit code (smaller number in the high
-half). Map tasks form the codes of their records and sort and run-length count each batch, which
+half; where there are more items than fit in half a code, their upper bits form a second one, zero otherwise). Map tasks form the codes of their records and sort and run-length count each batch, which
 leaves one row a code however hot the pair is. The shuffle then sorts the codes externally (sorted
 runs spilled to disk, merged in order) and a single pass over the sorted stream adds up the runs.
 Lift and the odds ratio with continuity correction are applied to the counted pairs.
@@ -14,13 +14,19 @@ reach it and leave before any pair is formed.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.runtime import cut, map_arrow
+from gleaner.runtime import cut, map_arrow, parallelism
 
 BLOCK = 512
+#: Bits of an item's number that a code holds.
+ITEM_BITS = 31
+#: Pairs that a task forms (one more record or pair of blocks at most).
+TASK_PAIRS = 4_000_000
 
 
 def items_of(ngrams: DataFrame) -> DataFrame:
@@ -44,22 +50,23 @@ def numbered(items: DataFrame, min_records: int = 1) -> DataFrame:
     for p, n in sizes:
         starts.append((p, total))
         total += n
-    if total >= 1 << 31:
-        raise ValueError("more than 2**31 items do not pack into 64-bit pair codes")
     offsets = F.broadcast(spark.createDataFrame(starts, "part long, start long"))  # a row a partition
     return placed.withColumn("part", part).join(offsets, "part").select("item", (F.col("start") + within).alias("item_no"), "n_records")
 
 
-def pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (np.minimum(a, b) << 32) | np.maximum(a, b)
+def pair_codes(a: np.ndarray, b: np.ndarray, bits: int = ITEM_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(upper, code) of pairs of item numbers."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    mask = (1 << bits) - 1
+    return (low >> bits << 32) | (high >> bits), ((low & mask) << 32) | (high & mask)
 
 
-def _count_batch(batches):
+def _count_batch(batches, bits: int):
     """Codes of each batch of (left, right) lists, sorted and run-length counted."""
     import pyarrow as pa
 
     for batch in batches:
-        runs = []
+        runs, held = [], 0
         for left, right in zip(batch.column(0), batch.column(1)):
             x = np.asarray(left.values)
             if right.is_valid:
@@ -68,57 +75,72 @@ def _count_batch(batches):
             else:
                 p, q = np.triu_indices(len(x), 1)
                 i, j = x[p], x[q]
-            runs.append(pair_codes(i, j))
-            if sum(map(len, runs)) > 4_000_000:
+            runs.append(pair_codes(i, j, bits))
+            held += len(i)
+            if held > TASK_PAIRS:
                 yield _run(runs, pa)
-                runs = []
+                runs, held = [], 0
         if runs:
             yield _run(runs, pa)
 
 
-def _run(codes: list[np.ndarray], pa):
-    code, n = np.unique(np.concatenate(codes), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+def _run(codes: list[tuple[np.ndarray, np.ndarray]], pa):
+    upper, code = (np.concatenate(c) for c in zip(*codes))
+    if upper.any():
+        order = np.lexsort((code, upper))
+        upper, code = upper[order], code[order]
+    else:
+        code.sort()
+    first = _firsts(upper, code)
+    n = np.diff(np.concatenate((first, [len(code)])))
+    return pa.RecordBatch.from_arrays([pa.array(upper[first], pa.int64()), pa.array(code[first], pa.int64()), pa.array(n, pa.int64())], names=["upper", "code", "n"])
+
+
+def _firsts(upper: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Where the runs of equal codes of a sorted stream begin."""
+    return np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (upper[1:] != upper[:-1])))) if len(code) else np.zeros(0, np.int64)
 
 
 def _merge_runs(batches):
     """Add up equal codes of a sorted stream; the last code of a batch is carried over."""
     import pyarrow as pa
 
-    def out(code, n):
-        return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n_shared"])
+    def out(upper, code, n):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (upper, code, n)], names=["upper", "code", "n_shared"])
 
-    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    upper = code = n = np.zeros(0, np.int64)
     for b in batches:
-        code = np.concatenate((code, b.column(0).to_numpy(zero_copy_only=False)))
-        n = np.concatenate((n, b.column(1).to_numpy(zero_copy_only=False)))
+        upper, code, n = (np.concatenate((x, b.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate((upper, code, n)))
         if not len(code):
             continue
-        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        code, n = code[first], np.add.reduceat(n, first)
-        yield out(code[:-1], n[:-1])
-        code, n = code[-1:], n[-1:]
-    yield out(code, n)
+        first = _firsts(upper, code)
+        upper, code, n = upper[first], code[first], np.add.reduceat(n, first)
+        yield out(upper[:-1], code[:-1], n[:-1])
+        upper, code, n = upper[-1:], code[-1:], n[-1:]
+    yield out(upper, code, n)
 
 
 def counted_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(code, n_shared) from distinct (doc_id, item_no)."""
+    """(upper, code, n_shared) from distinct (doc_id, item_no)."""
     spark = members.sparkSession
-    size = members.groupBy("doc_id").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    size = cut(members.groupBy("doc_id").agg(F.count("*").alias("size")).where(F.col("size") > 1))
+    # the work is in the pairs, which the bytes of the lists do not show
+    n_pairs = size.agg(F.coalesce(F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2), F.lit(0.0))).first()[0]
+    tasks_at_once = max(parallelism(spark), int(n_pairs // TASK_PAIRS) + 1)
     wide = members.join(size, "doc_id")
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     wide = wide.select("doc_id", "item_no", blocks.alias("blocks"), F.when(blocks > 1, F.pmod(F.xxhash64("item_no"), blocks)).otherwise(0).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = wide.select("doc_id", "item_no", "own", other)
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    grouped = tasks.groupBy("doc_id", lo.alias("lo"), hi.alias("hi")).agg(
-        F.collect_list(F.when(F.col("own") == lo, F.col("item_no"))).alias("left"),
-        F.collect_list(F.when(F.col("own") != lo, F.col("item_no"))).alias("right"),
+    tasks = wide.select("doc_id", "item_no", "own", other).withColumn("lo", lo).withColumn("hi", hi).repartition(tasks_at_once, "doc_id", "lo", "hi")
+    grouped = tasks.groupBy("doc_id", "lo", "hi").agg(
+        F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("item_no"))).alias("left"),
+        F.collect_list(F.when(F.col("own") != F.col("lo"), F.col("item_no"))).alias("right"),
     )
     lists = grouped.select("left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right"))
-    codes = map_arrow(lists, _count_batch, "code long, n long")
+    codes = map_arrow(lists, partial(_count_batch, bits=ITEM_BITS), "upper long, code long, n long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(codes.repartition(parts, "code").sortWithinPartitions("code"), _merge_runs, "code long, n_shared long")
+    return map_arrow(codes.repartition(parts, "upper", "code").sortWithinPartitions("upper", "code"), _merge_runs, "upper long, code long, n_shared long")
 
 
 def together(ngrams: DataFrame, min_shared: int = 1, block: int = BLOCK) -> DataFrame:
@@ -134,10 +156,16 @@ def together(ngrams: DataFrame, min_shared: int = 1, block: int = BLOCK) -> Data
     names = cut(numbered(items, min_shared))
     members = items.join(names.select("item", "item_no"), "item").select("doc_id", "item_no")
     pairs = counted_pairs(members, block).where(F.col("n_shared") >= min_shared)
-    low = F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
+    half = F.lit((1 << 32) - 1)
+
+    def number(upper, lower):
+        return F.shiftleft(upper, ITEM_BITS).bitwiseOR(lower)
+
+    no_a = number(F.shiftright("upper", 32), F.shiftright("code", 32))
+    no_b = number(F.col("upper").bitwiseAND(half), F.col("code").bitwiseAND(half))
     a = names.select(F.col("item_no").alias("no_a"), F.col("item").alias("x"), F.col("n_records").alias("n_x"))
     b = names.select(F.col("item_no").alias("no_b"), F.col("item").alias("y"), F.col("n_records").alias("n_y"))
-    named = pairs.select(F.shiftright("code", 32).alias("no_a"), low.alias("no_b"), "n_shared").join(a, "no_a").join(b, "no_b")
+    named = pairs.select(no_a.alias("no_a"), no_b.alias("no_b"), "n_shared").join(a, "no_a").join(b, "no_b")
     swap = F.col("x") > F.col("y")
     out = named.select(
         F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "n_shared",

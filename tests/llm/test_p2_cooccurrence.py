@@ -25,8 +25,10 @@ def brute(rows):
     return n, p, len(seen)
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, bits", [(512, 31), (4, 31), (512, 3)])
+def test_against_brute_force(spark, monkeypatch, block, bits):
+    """Also with more items than half a code holds."""
+    monkeypatch.setattr(cooccurrence, "ITEM_BITS", bits)
     r = random.Random(1)
     rows = [([r.choice("abCdefgh"), r.choice("xyz")], r.randint(1, 40), r.choice([None, 2]), "clash") for _ in range(400)]
     rows += [([f"w{i}", "q"], 99, 1, None) for i in range(60)]  # one record holds many items
