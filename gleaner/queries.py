@@ -551,20 +551,35 @@ def prf(spark, d):
     return _round(feedback.pseudo_relevance(_query(spark, d), cut(_top_terms(spark, d)), searcher(spark, d).index, 2), "weight")
 
 
-@query()
-def search_expanded(spark, d):
-    """Search, feed the summaries back, search again; its steps are compared one by one."""
-    return _round(searcher(spark, d).search(workload(spark, d), TOP, expansion=True, suggest=False), "score")
+def _sql_results(scored: str, p: str = "f", q: str = "q") -> str:
+    """{p}ound: the top documents of ``scored(qid, doc_id, score)``; {p}m: their summaries for the weighted queries ``q``. docs and tf are given."""
+    return f""", {p}ound AS (SELECT qid, rank, doc_id, score FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({scored})) WHERE rank <= {TOP}),
+{p}d AS (SELECT DISTINCT doc_id, text FROM {p}ound JOIN docs USING (doc_id)), {p}s AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT doc_id, {_SENTENCES} AS a FROM {p}d)),
+{p}w AS (SELECT doc_id, pos, sentence, unnest({_sql_terms('sentence')}) AS term FROM {p}s), {p}n AS (SELECT doc_id, term, tf / CAST(max(tf) OVER (PARTITION BY doc_id) AS DOUBLE) AS norm_tf FROM tf),
+{p}c AS (SELECT qid, doc_id, sentence, sum(norm_tf * weight) AS score, min(pos) AS first_pos FROM {p}ound JOIN {p}w USING (doc_id) JOIN {p}n USING (doc_id, term) JOIN {q} USING (qid, term) GROUP BY qid, doc_id, sentence),
+{p}r AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 9) DESC, first_pos) AS r FROM {p}c), {p}m AS (SELECT qid, doc_id, string_agg(sentence || ' ', '' ORDER BY r) AS summary FROM {p}r WHERE r <= 5 GROUP BY qid, doc_id)
+"""
+
+
+def _sql_found(scored: str, p: str = "f", q: str = "q") -> str:
+    return _sql_results(scored, p, q) + f"SELECT qid, rank, doc_id, round(score, 6) AS score, coalesce(summary, '') AS summary FROM {p}ound LEFT JOIN {p}m USING (qid, doc_id)"
 
 
-def _sql_found(scored: str) -> str:
-    """Top documents of ``scored(qid, doc_id, score)`` with their summaries; docs, tf and q are given."""
-    return f""", found AS (SELECT qid, rank, doc_id, score FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({scored})) WHERE rank <= {TOP}),
-fd AS (SELECT DISTINCT doc_id, text FROM found JOIN docs USING (doc_id)), fs AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT doc_id, {_SENTENCES} AS a FROM fd)),
-fw AS (SELECT doc_id, pos, sentence, unnest({_sql_terms('sentence')}) AS term FROM fs), fn AS (SELECT doc_id, term, tf / CAST(max(tf) OVER (PARTITION BY doc_id) AS DOUBLE) AS norm_tf FROM tf),
-fc AS (SELECT qid, doc_id, sentence, sum(norm_tf * weight) AS score, min(pos) AS first_pos FROM found JOIN fw USING (doc_id) JOIN fn USING (doc_id, term) JOIN q USING (qid, term) GROUP BY qid, doc_id, sentence),
-fr AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 9) DESC, first_pos) AS r FROM fc), fm AS (SELECT qid, doc_id, string_agg(sentence || ' ', '' ORDER BY r) AS summary FROM fr WHERE r <= 5 GROUP BY qid, doc_id)
-SELECT qid, rank, doc_id, round(score, 6) AS score, coalesce(summary, '') AS summary FROM found LEFT JOIN fm USING (qid, doc_id)"""
+_OKAPI = "SELECT qid, doc_id, sum(log10(n_docs / CAST(df AS DOUBLE)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM post JOIN (SELECT DISTINCT qid, term FROM {}) USING (term), st GROUP BY ALL"
+_FED_BACK = f""", sv AS (SELECT qid, doc_id, unnest(a) AS term, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT qid, doc_id, {_sql_terms("coalesce(summary, '')")} AS a FROM found LEFT JOIN fm USING (qid, doc_id))),
+vec AS (SELECT qid, doc_id, term, count(*) * coalesce(log10(any_value(n_docs) / CAST(any_value(df) AS DOUBLE)), 0) AS w, min(pos) AS first_pos FROM sv LEFT JOIN dfs USING (term), st GROUP BY qid, doc_id, term),
+fb AS (SELECT qid, doc_id, rank, rank <= least(count(*) OVER (PARTITION BY qid) // 2, 2) AS relevant FROM found), rs AS (SELECT qid, count(*) FILTER (WHERE relevant) AS n_rel FROM fb GROUP BY qid),
+ce AS (SELECT qid, term, sum(w) FILTER (WHERE relevant) AS pos, min(rank * 1000000000 + first_pos) FILTER (WHERE relevant) AS seen FROM vec JOIN fb USING (qid, doc_id) GROUP BY ALL),
+al AS (SELECT qid, term, weight, seen, CASE WHEN coalesce(n_rel, 0) > 0 THEN 0.75 * coalesce(pos, 0) / n_rel END AS cand FROM q FULL JOIN ce USING (qid, term) LEFT JOIN rs USING (qid) WHERE weight IS NOT NULL OR pos IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cand, 9) DESC NULLS LAST, weight IS NULL, seen NULLS FIRST, term) AS place FROM al),
+q2 AS (SELECT qid, term, weight FROM (SELECT qid, term, CASE WHEN place <= 2 AND cand IS NOT NULL THEN cand ELSE weight END AS weight FROM rk) WHERE weight IS NOT NULL)
+"""
+
+
+@query(_BASE + _sql_results(_OKAPI.format("q")) + _FED_BACK + _sql_found(_OKAPI.format("q2"), "g", "q2"))
+def search_expanded(spark, d):
+    """Search, feed the summaries back, search again."""
+    return _round(searcher(spark, d).search(workload(spark, d), TOP, expansion=True, suggest=False), "score")
 
 
 @query(

@@ -102,13 +102,16 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-#: Rows up to which a small side may be broadcast by hint; beyond it Spark plans the join itself.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes of their strings, up to which a side may be broadcast by hint; beyond it Spark plans the join itself.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has no more than ``rows`` rows (counted once for the same object)."""
+    """Hint a broadcast only after counting that ``df`` has no more than ``rows`` rows and few enough bytes (once for the same object)."""
     known = df.__dict__.setdefault("_gleaner_small", {})
     if rows not in known:
-        known[rows] = df.limit(rows + 1).count() <= rows
+        texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+        texts += [F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) for c, kind in df.dtypes if kind == "array<string>"]
+        n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+        known[rows] = n <= rows and size <= BROADCAST_BYTES
     return F.broadcast(df) if known[rows] else df

@@ -27,3 +27,21 @@ def test_small_and_spread(spark):
     assert runtime.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == runtime.parallelism(spark)
     wide = spark.range(0, 10, 1, 64)
     assert runtime.spread(wide) is wide
+
+
+def test_small_counts_bytes_too(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 40)
+    plan = lambda rows, schema: runtime.small(spark.createDataFrame(rows, schema), 10)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan([("short", None), (None, ["a"])], "a string, b array<string>")
+    assert "broadcast" not in plan([("x" * 41, None)], "a string, b array<string>")
+    assert "broadcast" not in plan([(None, ["x" * 30, "y" * 30])], "a string, b array<string>")
+
+
+def test_scratch_folder_of_one_machine_is_refused_on_a_cluster():
+    import types
+
+    import pytest
+
+    conf, context = types.SimpleNamespace(get=lambda *_: None), types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.scratch_dir(types.SimpleNamespace(conf=conf, sparkContext=context))
