@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import stemming, text
+from gleaner.functions import stemming, stemming_sql, text
 from gleaner.operators import feedback, index as ix, lexicon, phrases, ranking, summary
 from gleaner.operators.candidates import tier_filter
 from gleaner.plans.search import Searcher
@@ -161,29 +161,6 @@ def sentences_abbreviated(spark, d):
     return corpus(spark, d).select("doc_id", F.posexplode(text.sentences(F.col("text"), abbreviations=True)).alias("pos", "sentence"))
 
 
-@query()
-def stem(spark, d):
-    """The stemmer over the vocabulary; tested on published pairs."""
-    return stemming.stem_table(searcher(spark, d).dictionary)
-
-
-@query()
-def stemmed_index(spark, d):
-    return stemmed_searcher(spark, d).index.terms
-
-
-@query()
-def bm25_stemmed(spark, d):
-    """Ranking on stems, as are the next two; hand-worked cases and a comparison with stems joined in plain Python are in the tests."""
-    s = stemmed_searcher(spark, d)
-    return ranking.top_k(ranking.bm25(s.index, s.analyse(workload(spark, d))), TOP, digits=6)
-
-
-@query()
-def search_stemmed(spark, d):
-    return _round(stemmed_searcher(spark, d).search(workload(spark, d), TOP, suggest=False), "score")
-
-
 # ---- index and statistics
 
 
@@ -551,18 +528,18 @@ def prf(spark, d):
     return _round(feedback.pseudo_relevance(_query(spark, d), cut(_top_terms(spark, d)), searcher(spark, d).index, 2), "weight")
 
 
-def _sql_results(scored: str, p: str = "f", q: str = "q") -> str:
+def _sql_results(scored: str, p: str = "f", q: str = "q", stems: bool = False) -> str:
     """{p}ound: the top documents of ``scored(qid, doc_id, score)``; {p}m: their summaries for the weighted queries ``q``. docs and tf are given."""
     return f""", {p}ound AS (SELECT qid, rank, doc_id, score FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({scored})) WHERE rank <= {TOP}),
 {p}d AS (SELECT DISTINCT doc_id, text FROM {p}ound JOIN docs USING (doc_id)), {p}s AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT doc_id, {_SENTENCES} AS a FROM {p}d)),
-{p}w AS (SELECT doc_id, pos, sentence, unnest({_sql_terms('sentence')}) AS term FROM {p}s), {p}n AS (SELECT doc_id, term, tf / CAST(max(tf) OVER (PARTITION BY doc_id) AS DOUBLE) AS norm_tf FROM tf),
+{p}v AS (SELECT doc_id, pos, sentence, unnest({_sql_terms('sentence')}) AS word FROM {p}s), {p}w AS (SELECT doc_id, pos, sentence, {'stem' if stems else 'word'} AS term FROM {p}v {'JOIN sm USING (word)' if stems else ''}), {p}n AS (SELECT doc_id, term, tf / CAST(max(tf) OVER (PARTITION BY doc_id) AS DOUBLE) AS norm_tf FROM tf),
 {p}c AS (SELECT qid, doc_id, sentence, sum(norm_tf * weight) AS score, min(pos) AS first_pos FROM {p}ound JOIN {p}w USING (doc_id) JOIN {p}n USING (doc_id, term) JOIN {q} USING (qid, term) GROUP BY qid, doc_id, sentence),
 {p}r AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 9) DESC, first_pos) AS r FROM {p}c), {p}m AS (SELECT qid, doc_id, string_agg(sentence || ' ', '' ORDER BY r) AS summary FROM {p}r WHERE r <= 5 GROUP BY qid, doc_id)
 """
 
 
-def _sql_found(scored: str, p: str = "f", q: str = "q") -> str:
-    return _sql_results(scored, p, q) + f"SELECT qid, rank, doc_id, round(score, 6) AS score, coalesce(summary, '') AS summary FROM {p}ound LEFT JOIN {p}m USING (qid, doc_id)"
+def _sql_found(scored: str, p: str = "f", q: str = "q", stems: bool = False) -> str:
+    return _sql_results(scored, p, q, stems) + f"SELECT qid, rank, doc_id, round(score, 6) AS score, coalesce(summary, '') AS summary FROM {p}ound LEFT JOIN {p}m USING (qid, doc_id)"
 
 
 _OKAPI = "SELECT qid, doc_id, sum(log10(n_docs / CAST(df AS DOUBLE)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM post JOIN (SELECT DISTINCT qid, term FROM {}) USING (term), st GROUP BY ALL"
@@ -597,3 +574,43 @@ FROM (SELECT DISTINCT qid, doc_id FROM tiers) c JOIN q USING (qid) JOIN dl USING
 @query(_BASE + _TIERS + _sql_found(_LM_SCORES))
 def search_inexact_lm(spark, d):
     return _round(searcher(spark, d).search(workload(spark, d), TOP, scoring="lm", inexact=True, suggest=False), "score")
+
+
+# ---- stems
+
+
+_STEM_BASE = f"""WITH {_DOCS},
+words AS (SELECT doc_id, {_sql_terms('text')} AS terms FROM docs), qwords AS (SELECT item_id AS qid, {_sql_terms('text')} AS terms FROM benchmark),
+lines AS (SELECT unnest({_SENTENCES}) AS sentence FROM docs),
+vocabulary AS MATERIALIZED (SELECT unnest(terms) AS word FROM words UNION SELECT unnest(terms) FROM qwords UNION SELECT unnest({_sql_terms('sentence')}) FROM lines),
+{stemming_sql.ctes('vocabulary')},
+tok AS (SELECT doc_id, stem AS term FROM (SELECT doc_id, unnest(terms) AS word FROM words) JOIN sm USING (word)),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, len(terms) AS len FROM words),
+dfs AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term),
+st AS (SELECT count(*) AS n_docs, avg(len) AS avgdl FROM dl),
+post AS (SELECT term, doc_id, tf, len, df FROM tf JOIN dl USING (doc_id) JOIN dfs USING (term)),
+q AS (SELECT qid, stem AS term, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT qid, unnest(terms) AS word FROM qwords) JOIN sm USING (word) GROUP BY ALL)
+"""
+
+
+@query(_STEM_BASE + "SELECT word, stem FROM sm WHERE word IN (SELECT unnest(terms) FROM words)")
+def stem(spark, d):
+    """The stemmer over the vocabulary."""
+    return stemming.stem_table(searcher(spark, d).dictionary)
+
+
+@query(_STEM_BASE + "SELECT term, df, cf FROM dfs")
+def stemmed_index(spark, d):
+    return stemmed_searcher(spark, d).index.terms
+
+
+@query(_STEM_BASE + f"SELECT qid, rank, doc_id, score FROM (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ({_OKAPI.format('q')})) WHERE rank <= {TOP}")
+def bm25_stemmed(spark, d):
+    s = stemmed_searcher(spark, d)
+    return ranking.top_k(ranking.bm25(s.index, s.analyse(workload(spark, d))), TOP, digits=6)
+
+
+@query(_STEM_BASE + _sql_found(_OKAPI.format("q"), stems=True))
+def search_stemmed(spark, d):
+    """Search and summaries on stems."""
+    return _round(stemmed_searcher(spark, d).search(workload(spark, d), TOP, suggest=False), "score")
