@@ -224,8 +224,12 @@ def _counted(rows: DataFrame, weigh, bits: int) -> np.ndarray:
             r, feats = weigh(b)
             if total is None:
                 total = np.zeros((size, classes), np.float32)
-            used, at = np.unique(feats, return_inverse=True)
-            total[used] += np.stack([np.bincount(at, r[:, c], len(used)) for c in range(classes)], 1).astype(np.float32)
+            if 2 * len(feats) < size:
+                used, at = np.unique(feats, return_inverse=True)
+                total[used] += np.stack([np.bincount(at, r[:, c], len(used)) for c in range(classes)], 1).astype(np.float32)
+            else:  # cheaper than sorting
+                for c in range(classes):
+                    total[:, c] += np.bincount(feats, r[:, c], size)
         if total is None:
             return
         used = np.flatnonzero(total.any(1))
