@@ -498,10 +498,15 @@ def lowest(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(h <= F.lit(last)) if last is not None else df.limit(0)
 
 
-def sample_texts(df: DataFrame, key: str, text: str, rows: int) -> list[str]:
-    """At most ``rows`` texts of distinct keys, the first by a hash of the key: a bounded sample for fitting."""
-    picked = lowest(df.select(key, text).where(F.length(text) > 0), key, rows)
-    return sorted(r[1] for r in picked.dropDuplicates([key]).collect())
+def sample_texts(df: DataFrame, key: str, text: str, rows: int, chars: int = 50_000_000) -> list[str]:
+    """At most ``rows`` texts of distinct keys with at most ``chars`` characters in all, the first by a hash of the key: a bounded sample for fitting."""
+    picked = lowest(df.select(key, text).where(F.length(text) > 0), key, rows).dropDuplicates([key])
+    keys, used = [], 0
+    for k, n in picked.select(key, F.length(text)).orderBy(F.xxhash64(key), key).collect():
+        if used + n <= chars:
+            keys.append(k)
+            used += n
+    return sorted(r[0] for r in picked.where(F.col(key).isin(keys)).select(text).collect())
 
 
 #: Contexts that a task holds before it sends their counts.

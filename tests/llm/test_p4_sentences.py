@@ -135,6 +135,7 @@ def test_unpunctuated_text_is_learned_without_marks():
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"Text {i}.") for i in range(500)], "newid long, body string")
     assert 0 < len(sentences.sample_texts(df, "newid", "body", 50)) <= 50
+    assert 0 < sum(map(len, sentences.sample_texts(df, "newid", "body", 50, chars=100))) <= 100
 
 
 def test_rare_abbreviations_count_in_all_reports(spark):
